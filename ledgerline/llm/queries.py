@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import op7_mixing
+from .packing import op3_packing
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op2_token_counts
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op7_mixing)}
 ORACLES: dict[str, str] = {}
