@@ -160,7 +160,7 @@ def _pack(batches: Iterator[pa.RecordBatch], ranks: str, length: int, step: int,
         yield plan(stream, True, number)[0]
 
 
-def pack(docs: DataFrame, length: int = 1024, step: int = 64, sentence_cost: int = 4, word_cost: int = 24, ranks: str = RANKS) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, step: int = 8, sentence_cost: int = 2, word_cost: int = 8, ranks: str = RANKS) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and ids (little-endian unsigned 32-bit).
 
