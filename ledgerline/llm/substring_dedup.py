@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, as_signed, chunks, mixed, rolled, sliding_min, words_of
 
+NO_ID = -(1 << 63)  # stands for a null doc_id
 LONGEST_RUN = 256  # windows in one packed string
 BUCKET_BYTES = 2 << 20  # packed bytes that are ranked together, if buckets are smaller
 
@@ -185,8 +186,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documen
     of one doc_id are one document: they don't remove each other. Texts under ``window`` words keep all. Other
     columns are not carried, so their names can't clash. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    some = docs.where("doc_id is not null and text is not null")
+    # a key that can't be null keeps both joins' filters away, so that the texts are shuffled once for both
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    some = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
     found = some.mapInArrow(partial(_minimisers, window=window, run=run), "doc_id long, text_hash long, minimiser long")
     shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("minimiser", (F.col("n") > hot_documents).alias("hot"))
     wanted = found.join(shared, "minimiser").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("minimiser", "hot")).alias("wanted"))
@@ -204,7 +206,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documen
         .groupBy("doc_id", "text_hash")
         .agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     )
-    return docs.join(cuts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "cuts").mapInArrow(partial(_remove, window=window), "doc_id long, text string, n_words long, n_removed long, kept_text string")
+    out = docs.join(cuts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "cuts").mapInArrow(partial(_remove, window=window), "doc_id long, text string, n_words long, n_removed long, kept_text string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
