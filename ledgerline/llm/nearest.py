@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 CELL_ROWS = 20_000  # expected vectors of a leaf that meet its queries at once; larger leaves are split by a salt
 TIE = 1e-9
+CELL_NAMES = ["tree", "leaf", "salt", "candidate", "vec_id", "embedding"]
+HELD_QUERIES = 20_000  # whose best a task holds before it hands them on
 
 
 @dataclass
@@ -77,8 +79,8 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
 
 
 def search(forest: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-    """The first ``leaves`` (tree, leaf) of all trees by one queue. A leaf's priority is the least margin by which its
-    splits lie on the other side of the query (0 where none does)."""
+    """The first ``leaves`` (tree, leaf) of all trees by one queue. A leaf's priority is the sum of
+    the margins by which its splits lie on the other side of the query (0 where none does)."""
     sides = [t.normal @ query - t.offset if len(t.normal) else np.empty(0) for t in forest]
     queue = [(0.0, k, 0 if len(t.normal) else -1) for k, t in enumerate(forest)]
     heapq.heapify(queue)
@@ -92,7 +94,7 @@ def search(forest: list[Tree], query: np.ndarray, leaves: int) -> list[tuple[int
         tree = forest[k]
         near, other = (tree.right[node], tree.left[node]) if margin > 0 else (tree.left[node], tree.right[node])
         heapq.heappush(queue, (far, k, int(near)))
-        heapq.heappush(queue, (max(far, abs(margin)), k, int(other)))
+        heapq.heappush(queue, (far + abs(margin), k, int(other)))
     return found
 
 
@@ -112,9 +114,6 @@ def _leaves_of_rows(batches: Iterator[pa.RecordBatch], forest: list[Tree], most:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(leaf), pa.array(batch.column("vec_id").to_numpy() % salts), pa.array(np.ones(n, bool)), batch.column("vec_id"), batch.column("embedding")], CELL_NAMES)
 
 
-CELL_NAMES = ["tree", "leaf", "salt", "candidate", "vec_id", "embedding"]
-
-
 def _leaves_of_queries(batches: Iterator[pa.RecordBatch], forest: list[Tree], leaves: int, salts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = vectors_of(batch.column("embedding")) if batch.num_rows else ()
@@ -177,6 +176,9 @@ def _meet(batches: Iterator[pa.RecordBatch], top: int, block: int = 4096) -> Ite
                 own, q = np.concatenate(query_ids), np.concatenate(queries)
                 for i in range(0, len(own), block):
                     best.add(own[i : i + block], q[i : i + block], ids[a:b], x[a:b])
+                if len(best.found) > HELD_QUERIES:
+                    yield best.batch()
+                    best = _Best(top)
     yield best.batch()
 
 
@@ -186,7 +188,7 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 12, leaf: int = 40, leaves: int = 60, sample: int = 20_000, seed: int = 11) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 10, leaf_share: float = 0.008, leaves: int = 150, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (inner product, double precision) of each query's ``top`` nearest
     found among all other rows, nearest first, ties to the smaller vec_id. Fewer rows give fewer neighbours.
 
@@ -194,6 +196,10 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 12, l
     are of one length. The trees are fitted on at most ``sample`` rows (the smallest hashes of vec_id), whose number
     bounds what the driver holds; all rows are indexed. Of equal vectors only the ``top`` + 1 smallest vec_ids can be
     among a query's nearest, so the others leave before the index: a group of copies of any size is that many rows.
+
+    A leaf holds ``leaf_share`` of the rows, so that ``leaves`` reach the same part of the table at every size. The
+    defaults give a recall of 0.95 on vectors without any structure in 64 dimensions, where half of all rows have to
+    be looked at; vectors that cluster need far fewer leaves.
     """
     spark = rows.sparkSession
     schema = "tree long, leaf long, salt long, candidate boolean, vec_id long, embedding array<double>"
@@ -209,8 +215,8 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 12, l
     x = np.unique(vectors_of(picked.column("embedding").combine_chunks()), axis=0)
     x = np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))])
     rng = np.random.default_rng(seed)
-    forest = [grow(x, leaf, rng) for _ in range(trees)]
-    salts = max(1, -(-int(n * leaf / max(1, len(x))) // CELL_ROWS))
+    forest = [grow(x, max(2, int(leaf_share * len(x))), rng) for _ in range(trees)]
+    salts = max(1, -(-int(n * leaf_share) // CELL_ROWS))
     cells = indexed.mapInArrow(partial(_leaves_of_rows, forest=forest, most=float(most), salts=salts), schema)
     asked = queries.mapInArrow(partial(_leaves_of_queries, forest=forest, leaves=leaves, salts=salts), schema)
     key = ["tree", "leaf", "salt"]
