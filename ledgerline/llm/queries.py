@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html_extraction import op9_html_extraction
+from .jaccard_join import op5_jaccard_join
 from .media_columns import op4_media_columns
 from .mixing import op7_mixing
 from .nearest import op10_nearest
@@ -12,5 +13,5 @@ from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 from .url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest)}
 ORACLES: dict[str, str] = {}
