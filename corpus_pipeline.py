@@ -1,15 +1,69 @@
-"""The corpus pipeline: its stages work on documents, one after the other."""
+"""The corpus pipeline: five stages over documents, each on all that the one before kept.
+
+1. The quality classifier's rejects go.
+2. Of each group of near copies one document stays, that of the smallest doc_id.
+3. Word windows that a smaller document also has are taken out of the texts.
+4. Sources are mixed to their target weights: documents are left out, cut or repeated.
+5. What is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import quality as quality_model
+from ledgerline.llm.jaccard_join import jaccard_join
+from ledgerline.llm.mixing import mixed_corpus
+from ledgerline.llm.packing import pack
+from ledgerline.llm.shared import DOCUMENT_COLUMNS, materialise
+from ledgerline.llm.substring_dedup import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose score is 0.7 or more; empty texts are scored as others are."""
+    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_model.classify(docs, model, 0.7, *DOCUMENT_COLUMNS[1:]).where("predicted = 1").select(*DOCUMENT_COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class; texts without words and null doc_ids have none and stay."""
+    classes = jaccard_join(docs).where("class_id != doc_id").select("doc_id")
+    return docs.select(*DOCUMENT_COLUMNS).join(classes, "doc_id", "left_anti")
+
+
+def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated windows out of the texts (the kept words then have one space between); other texts and all rows stay."""
+    found = substring_dedup(docs, carry=("text", "lang", "source"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does; a last part of one is its first words."""
+    return mixed_corpus(docs.select(*DOCUMENT_COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 ids."""
+    return pack(docs).drop("ids")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("repeated_windows", repeated_windows),
+    ("mixture", mixture),
+    ("sequences", sequences),
+]
+ORACLE_SQL = None  # a fitted model decides in the first stage; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

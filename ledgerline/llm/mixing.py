@@ -22,11 +22,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_of(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+
+
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, its key (never null), size and the hash that shuffles a source, with its bucket (first bits)."""
-    shuffle = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    return docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), shuffle.alias("shuffle")).withColumn("bucket", F.shiftrightunsigned("shuffle", 54))
+    return docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), shuffle_of(seed).alias("shuffle")).withColumn("bucket", F.shiftrightunsigned("shuffle", 54))
 
 
 def _by_code_point() -> list[Column]:
@@ -92,7 +95,7 @@ def turns(goal: DataFrame, most: float = 2.0, slots: int = SLOTS) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes of the document, repeats counted).
+    """doc_id, source, shuffle, size, source_size, target and taken (words the mix takes of the document, repeats counted).
 
     Words are runs of characters other than 0x20 and 0x09 to 0x0D; a null text has none. A null source is a source.
     Sources without words have target 0, documents without words are taken 0 times. A block is the mix's words
@@ -121,8 +124,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     placed = placed.join(block_of("first"), ["key", "first"], "left").join(block_of("last"), ["key", "last"], "left")
     taken = F.when(F.col("size") > 0, words_upto("last", "end") - words_upto("first", "begin")).otherwise(F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "shuffle", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_corpus(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The documents as the mix takes them: a row for each whole time, and one with the first words (one space
+    between) where a last block ends inside the document. Documents that aren't taken go. Columns are kept; repeated
+    rows are each taken as often as the one of them that is taken most."""
+    taken = mix(docs, seed=seed, **options).groupBy(F.col("shuffle").alias("mix_key")).agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0")
+    rows = docs.withColumn("mix_key", shuffle_of(seed)).join(taken, "mix_key")
+    rest = (F.col("mix_taken") % F.col("mix_size")).cast("int")
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
+    whole = F.array_repeat(F.col("text"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int"))
+    texts = F.when(rest > 0, F.concat(whole, F.array(first_words))).otherwise(whole)
+    return rows.withColumn("text", F.explode(texts)).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "shuffle")

@@ -157,7 +157,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
         yield _repeats(pa.Table.from_batches(held), window)
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
@@ -173,21 +173,22 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             data = kept.tobytes()
             texts = [data[a : max(a, b - 1)] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
             removed = np.append(0, np.cumsum(gone))[words.rows]
-            own = [part.column(c) for c in part.schema.names if c not in ("cuts", "text_hash")]
-            names = [c for c in part.schema.names if c not in ("cuts", "text_hash")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(words.rows)), pa.array(np.diff(removed)), pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(words.rows)), pa.array(np.diff(removed)), pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documents: int = 2000) -> DataFrame:
-    """Adds n_words, n_removed and kept_text (the kept words, one space between) to doc_id and text.
+def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documents: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in ``carry`` (text may be one), n_words, n_removed and kept_text (the kept words, one
+    space between) of every row.
 
     A word goes if a window over it also starts in a document of a smaller doc_id; windows are judged on the input.
     Null text: no words, empty kept_text. Null doc_id: the row keeps all and takes nothing from others. Repeated rows
-    of one doc_id are one document: they don't remove each other. Texts under ``window`` words keep all. Other
-    columns are not carried, so their names can't clash. An empty table gives an empty table.
+    of one doc_id are one document: they don't remove each other. Texts under ``window`` words keep all. Columns not
+    in ``carry`` aren't read; the operator's own columns have names of their own inside, so none can clash, unless
+    carried under the names of its results. An empty table gives an empty table.
     """
     # a key that can't be null keeps both joins' filters away, so that the texts are shuffled once for both
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    extra = [c for c in carry if c != "text"]
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), *(F.col(c).alias(f"carried_{c}") for c in extra))
     some = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
     found = some.mapInArrow(partial(_minimisers, window=window, run=run), "doc_id long, text_hash long, minimiser long")
     shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("minimiser", (F.col("n") > hot_documents).alias("hot"))
@@ -206,8 +207,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documen
         .groupBy("doc_id", "text_hash")
         .agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     )
-    out = docs.join(cuts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "cuts").mapInArrow(partial(_remove, window=window), "doc_id long, text string, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    names = ["doc_id", *(["text"] if "text" in carry else []), *(f"carried_{c}" for c in extra)]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    out = docs.join(cuts, ["doc_id", "text_hash"], "left").mapInArrow(partial(_remove, window=window, names=names), f"{kinds}, n_words long, n_removed long, kept_text string")
+    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.withColumnsRenamed({f"carried_{c}": c for c in extra})
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
