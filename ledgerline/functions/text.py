@@ -44,7 +44,7 @@ def excerpt(text: Column, most: int = 4000) -> Column:
 
 def section_slice(text: Column, header: Column, window: int = 12000) -> Column:
     """From the header's first place on, up to the next line of a Roman number and a title, ``window`` characters at most."""
-    at = F.charindex(header, text)
+    at = F.position(header, text)
     body = F.substr(text, at, F.lit(window))
     after = F.substr(text, at + F.char_length(header))
     cut = F.regexp_instr(after, F.lit("\\n\\s*([IVX]+)\\.\\s+[^\\n]+\\n"))

@@ -167,7 +167,11 @@ def input_guard(filings: DataFrame, facts: DataFrame, key: str = "doc_id", least
 def secrets(doc_lines: DataFrame, patterns: Sequence[tuple[str, str]] = rules.SECRETS, key: str = "doc_id") -> DataFrame:
     """Every match of every rule on every line without a placeholder: key, line_no, label, nth, snippet."""
     placeholder = F.contains("line", F.lit("PUT_YOUR")) | F.contains("line", F.lit("REPLACE_WITH")) | F.contains(F.upper("line"), F.lit("EXAMPLE"))
-    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), lambda x, i, label=label: F.struct(F.lit(label).alias("label"), i.alias("nth"))) for label, p in patterns)))
+
+    def matches(label: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda _, i: F.struct(F.lit(label).alias("label"), i.alias("nth")))
+
+    hits = F.flatten(F.array(*(matches(label, p) for label, p in patterns)))
     found = doc_lines.where(~placeholder).select(key, "line_no", F.left(trimmed(F.col("line")), F.lit(120)).alias("snippet"), F.explode(hits).alias("hit"))
     return found.select(key, "line_no", "hit.label", "hit.nth", "snippet")
 

@@ -1,5 +1,5 @@
 """Importing this registers every query of the library."""
 
-from . import facts, market, work
+from . import facts, market, texts, work
 
-__all__ = ["facts", "market", "work"]
+__all__ = ["facts", "market", "texts", "work"]
