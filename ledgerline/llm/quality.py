@@ -192,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     found = rows.orderBy("order").select("quality", "text").mapInArrow(_features_of, "quality int, features array<int>").toArrow()
     if not found.num_rows:
         return fit([], np.empty(0))
-    return fit([np.array(x) for x in found.column("features").to_pylist()], found.column("quality").to_numpy())
+    lists = found.column("features").combine_chunks()
+    rows = np.split(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum()[:-1])  # views of one array
+    return fit(rows, found.column("quality").to_numpy())
 
 
 def classify(docs: DataFrame, model: QualityModel, threshold: float = 0.7, *columns: str) -> DataFrame:
