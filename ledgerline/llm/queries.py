@@ -14,4 +14,22 @@ from .token_counts import op2_token_counts
 from .url_filter import op8_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest)}
-ORACLES: dict[str, str] = {}
+
+WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents)"
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""WITH {WORDS},
+k AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 49], ' ')) AS h FROM (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS i FROM w WHERE len(a) >= 50)),
+d AS (SELECT k.doc_id, k.i FROM k JOIN (SELECT h, min(doc_id) AS lo FROM k GROUP BY h) m ON k.h = m.h WHERE m.lo < k.doc_id),
+g AS (SELECT DISTINCT doc_id, i + o AS p FROM d CROSS JOIN range(0, 50) AS r(o)),
+x AS (SELECT doc_id, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS p FROM w),
+y AS (SELECT x.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON w.doc_id = y.doc_id""",
+    "op5_jaccard_join": f"""WITH RECURSIVE {WORDS},
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i:i + 4], ' ')) AS h FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, 2))) AS i FROM w WHERE len(a) > 0)),
+n AS (SELECT doc_id, count(*) AS size, md5(string_agg(h, '' ORDER BY h)) AS set_id FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b, na.set_id AS set_a, nb.set_id AS set_b FROM p JOIN n na ON p.a = na.doc_id JOIN n nb ON p.b = nb.doc_id WHERE 9 * common >= 4 * (na.size + nb.size)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, count(*) AS n_links, count(DISTINCT CASE WHEN set_a <> set_b THEN set_b END) AS n_texts FROM l GROUP BY a)
+SELECT r.doc_id, r.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts FROM (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a) r LEFT JOIN c ON r.doc_id = c.a""",
+}
