@@ -1,5 +1,5 @@
 """Importing this registers every query of the library."""
 
-from . import facts, market, notes, texts, work
+from . import facts, market, more, notes, texts, work
 
-__all__ = ["facts", "market", "notes", "texts", "work"]
+__all__ = ["facts", "market", "more", "notes", "texts", "work"]
