@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..sources.folders import shared_folder
 from .arrays import chunks
-from .shared import shared_dir
 
 ROW = 64
 MANIFEST = "_archives.json"
@@ -251,7 +251,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Stores every text, reads it back and computes: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256 and feature. ``path``: a new folder, by default in the shared one."""
-    path = path or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    path = path or shared_folder(docs.sparkSession, "media")
     if "://" not in path and not path.startswith("file:"):
         path = f"file://{path}"
     elif path.startswith("file:/") and not path.startswith("file://"):

@@ -8,6 +8,7 @@ much of the text it makes up, in a few steps, so that one odd line isn't a whole
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -25,23 +26,20 @@ STEPS = np.array([0.02, 0.1, 0.3, 0.6])
 HELD_OUT = 2
 
 
+KINDS = re.compile(r"(?P<letters>[^\W\d_A-Z]+)|(?P<capitals>[A-Z]+)|(?P<digits>\d+)|(?P<mark>.)", re.DOTALL)
+LONGEST_SHAPE = 12
+
+
+def _shape(word: str) -> str:
+    """a lower-case letters, A capitals, 0 digits, others as they are; runs once, the first LONGEST_SHAPE of them."""
+    signs = {"letters": "a", "capitals": "A", "digits": "0"}
+    out = [("A" if m[0].isupper() else signs[m.lastgroup]) if m.lastgroup in signs else m[0] for m in KINDS.finditer(word)]
+    return "".join(c for i, c in enumerate(out) if not i or out[i - 1] != c)[:LONGEST_SHAPE]
+
+
 def _shapes(words: pa.Array) -> pa.Array:
-    """The shape of each different word: a lower, A capital, 0 digit, others as they are; runs once."""
-    import re
-
-    kinds = re.compile(r"(?P<a>[^\W\d_A-Z]+)|(?P<A>[A-Z]+)|(?P<n>\d+)|(?P<x>(.)\5*)", re.DOTALL)
-
-    def shape(word: str) -> str:
-        out = []
-        for m in kinds.finditer(word):
-            kind = m.lastgroup
-            if kind == "a":
-                out.append("A" if m[0].isupper() else "a")
-            else:
-                out.append("A" if kind == "A" else "0" if kind == "n" else m[0][0] if kind == "x" else m[0][0])
-        return "".join(c for i, c in enumerate(out) if not i or out[i - 1] != c)[:12]
-
-    return pa.array([shape(w[:-1].decode("utf-8", "replace")) for w in words.to_pylist()], pa.string())
+    """The shape of each different word (each with its space)."""
+    return pa.array([_shape(w[:-1].decode("utf-8", "replace")) for w in words.to_pylist()], pa.string())
 
 
 def _per_row(words: Words, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,27 +1,17 @@
-"""Places and helpers that every operator of this subpackage uses."""
+"""Helpers that every operator of this subpackage uses."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.folders import shared_folder
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local tests) a temporary one is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
-        configured = spark.sparkContext.getCheckpointDir()
-    return configured.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back: its lineage ends there,
     so a lost executor costs a read and not the work before it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

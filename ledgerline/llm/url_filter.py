@@ -77,10 +77,9 @@ class UrlModel:
         return 1 / (1 + np.exp(-margin))
 
 
-@lru_cache(1)
-def train(steps: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> UrlModel:
-    """Full-batch descent with per-weight steps on the labelled table, which is small whatever the corpus."""
-    hosts, paths, label = zip(*labelled_urls(), strict=True)
+def fit(urls: list[tuple[str, str, int]], steps: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> UrlModel:
+    """Full-batch descent with per-weight steps."""
+    hosts, paths, label = zip(*urls, strict=True)
     row, feature = url_features(pa.array(hosts), pa.array(paths))
     y = np.array(label, float)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
@@ -96,10 +95,16 @@ def train(steps: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> UrlMode
     return UrlModel(w, bias)
 
 
+@lru_cache(1)
+def train() -> UrlModel:
+    """The model of the labelled table, which is small whatever the corpus."""
+    return fit(labelled_urls())
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to / ? # or the end, A-Z lower-cased; empty where there is none."""
-    rest = F.substring_index(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), "\0never", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    host = F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
