@@ -3,7 +3,8 @@
 A text is the set of its runs of ``n`` words, and the set a signature of minima of ``PLACES`` hashes; two sets agree
 at a place with a chance of their Jaccard similarity. In each run a signature chooses some of its (place, minimum)
 pairs, the same ones in all signatures that have them, and goes to a bucket for each. In buckets over ``small`` sets
-those alike the bucket's first set are linked to it, and the others choose again, to ``depth`` levels; small ones are compared all with all. ``runs`` repeats make up
+those alike the bucket's first set are linked to it, and the others choose again, to ``depth`` levels; small ones are compared all with all,
+and so are large ones that are left at the last level, by pairs of blocks of about ``small`` sets. ``runs`` repeats make up
 for pairs whose choices die out: with 1 / CHOICE pairs chosen on average, a pair of similarity 0.8 is missed by one
 run with a chance of 0.2 (one level) to 0.32 (three), by twelve with one in 10**6 at most.
 
@@ -141,18 +142,35 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _agree(one: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
+    return np.concatenate([(one[i : i + COMPARED_ROWS, None, :] == other[None]).sum(2, dtype=np.uint8) >= least for i in range(0, len(one), COMPARED_ROWS)])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """A star of links for each group of sets in a bucket whose signatures agree at ``least`` places."""
+    """A star of links for each group of sets in a cell whose signatures agree at ``least`` places. left and right: a
+    cell of two blocks of a bucket compares across them only."""
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
-    for table in _groups(batches, ["bucket", "block"]):
+    for table in _groups(batches, ["bucket", "left", "right"]):
         if table.num_rows < 2:
             continue
         reps = table.column("rep").to_numpy()
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, PLACES)
         order = np.argsort(reps)
         reps, low = reps[order], signatures[order].astype(np.uint8)
-        near = np.concatenate([(low[i : i + COMPARED_ROWS, None, :] == low[None]).sum(2, dtype=np.uint8) >= least for i in range(0, len(low), COMPARED_ROWS)])
+        left = table.column("left")[0].as_py()
+        if left == table.column("right")[0].as_py():
+            near = _agree(low, low, least)
+        else:
+            of_left = table.column("block").to_numpy()[order] == left
+            if of_left.all() or not of_left.any():
+                continue
+            across = _agree(low[of_left], low[~of_left], least)
+            if not across.any():
+                continue
+            near = np.zeros((len(low), len(low)), bool)
+            near[np.ix_(of_left, ~of_left)] = across
+            near |= near.T
         label = _labels(near)
         linked = label != np.arange(len(label))
         a.append(reps[linked])
@@ -204,14 +222,13 @@ def candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, sm
     found = _buckets(sets.select("rep", "signature").mapInArrow(partial(_first_choices, runs=runs), "bucket long, rep long"))
     for level in range(1, depth + 1):
         if level == depth:
-            # a bucket that choosing doesn't divide is of sets much alike: blocks, each with the bucket's smallest set
+            # what choosing didn't divide: each pair of blocks
             blocks = F.ceil(F.col("members") / small)
-            cut = found.withColumn("block", F.when(F.col("members") > small, F.pmod(F.xxhash64("rep"), blocks)).otherwise(0))
-            heads = found.where(F.col("members") > small).groupBy("bucket").agg(F.min("rep").alias("rep"), F.first("members").alias("members"))
-            heads = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / small) - 1)))
-            leaves.append(cut.select("bucket", "block", "rep").unionByName(heads.select("bucket", "block", "rep")).distinct())
+            cut = found.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            leaves.append(cut.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep"))
             break
-        leaves.append(found.where(F.col("members") <= small).select("bucket", F.lit(0).cast("long").alias("block"), "rep"))
+        whole = [F.lit(0).cast("long").alias(name) for name in ("left", "right", "block")]
+        leaves.append(found.where(F.col("members") <= small).select("bucket", *whole, "rep"))
         large = found.where(F.col("members") > small)
         if large.isEmpty():
             break
@@ -224,7 +241,7 @@ def candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, sm
     cells = leaves[0]
     for more in leaves[1:]:
         cells = cells.unionByName(more)
-    cells = cells.join(sets.select("rep", "signature"), "rep").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    cells = cells.join(sets.select("rep", "signature"), "rep").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
     mean = threshold * PLACES
     least = int(mean - SLACK * (mean * (1 - threshold)) ** 0.5)
     out = cells.mapInArrow(partial(_candidates, least=least), "a long, b long")
