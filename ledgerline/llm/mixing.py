@@ -3,6 +3,10 @@
 The points frac(n * golden ratio), n = 0, 1, ..., fall on [0, 1) evenly at every stage; cut by the sources' cumulative
 shares of the target they give each slot its source. A source's slots are ranked; its slot of rank k takes the k-th
 block of its shuffled documents, blocks being equally many words, and begins again at the first block after the last.
+
+A source of few blocks would get a slot more or less by chance, so it has a schedule of its own, with slots of one
+word. All of these are its own: there are as many as its target has words, and what they take of a document follows
+from where it begins and ends, without rows for them.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 SLOTS = 1 << 16
+FINE = 1 << 10  # a source whose target has fewer blocks has a schedule of its own
 CELLS = 1 << 10
 GOLDEN = 0.6180339887498949
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -99,14 +104,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     Words are runs of characters other than 0x20 and 0x09 to 0x0D; a null text has none. A null source is a source.
     Sources without words have target 0, documents without words are taken 0 times. A block is the mix's words
-    divided by ``slots``, rounded up, so a source misses its target by some blocks at most. A document that lies in
-    neighbouring blocks is taken with each. No document is taken over ``most`` (whole) times. Repeated rows are
+    divided by ``slots``, rounded up; a source of ``FINE`` blocks or more misses its target by some blocks at most, any
+    other by less than a word. A document that lies in neighbouring blocks is taken with each. No document is taken over ``most`` (whole) times. Repeated rows are
     documents of their own. The same rows give the same mix, however they are partitioned. An empty table gives an
     empty table. Columns other than doc_id, text and source aren't read.
     """
     base = materialise(sized(docs, seed), "mixing")
     goal = materialise(targets(base, share, most, weights, slots), "targets")
-    taking = materialise(turns(goal, most, slots), "turns")
+    goal = goal.withColumn("alone", F.col("target") < F.col("width") * FINE)
+    taking = materialise(turns(goal.where("not alone"), most, slots), "turns")
     # where a document begins among its source's words: its bucket's start, then a running sum inside the bucket
     sums = base.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(_before(Window.partitionBy("key").orderBy("bucket"))), F.lit(0))).drop("words")
@@ -123,7 +129,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         return F.col(f"{side}_earlier") * F.col("width") + (F.col(at) - F.col(side) * F.col("width")) * F.col(f"{side}_times")
 
     placed = placed.join(block_of("first"), ["key", "first"], "left").join(block_of("last"), ["key", "last"], "left")
-    taken = F.when(F.col("size") > 0, words_upto("last", "end") - words_upto("first", "begin")).otherwise(F.lit(0))
+    own_slots = F.least(F.round("target").cast("long"), F.col("source_size") * int(most))
+    passes, more = F.floor(own_slots / F.col("source_size")), own_slots % F.col("source_size")
+
+    def own_words_upto(at: str) -> Column:
+        return F.col(at) * passes + F.least(F.col(at), more)
+
+    of_slots = F.when(F.col("alone"), own_words_upto("end") - own_words_upto("begin")).otherwise(words_upto("last", "end") - words_upto("first", "begin"))
+    taken = F.when(F.col("size") > 0, of_slots).otherwise(F.lit(0))
     return placed.select("doc_id", "source", "shuffle", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
