@@ -13,7 +13,6 @@ enters and leaves it once.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -22,35 +21,26 @@ from functools import lru_cache, partial
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
+from .pretokens import token_ids
+from .token_counts import byte_letters
 
-RANKS = "byte_bpe_50k.tiktoken"
-SPECIAL = {"<|endoftext|>": 50256}
+VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 20  # ids that are planned together; a block's last windows go on into the next one
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-@lru_cache(4)
-def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary; a special string inside a text is its one id, as the tokenizers library has it."""
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-
-
 @lru_cache(4)
 def sentence_ends(path: str) -> np.ndarray:
     """Of each id, whether a sentence may end after it: its bytes end with a stop or hold a line end."""
-    enc = encoding(path)
-    out = np.zeros(enc.n_vocab, bool)
-    for i in range(enc.n_vocab - len(SPECIAL)):
-        token = enc.decode_single_token_bytes(i)
+    library, letters = token_ids(path).library, byte_letters()
+    out = np.zeros(library.get_vocab_size(), bool)
+    for token, i in library.get_vocab(with_added_tokens=False).items():
+        token = bytes(map(letters.__getitem__, token))
         out[i] = b"\n" in token or token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?")
     return out
 
@@ -141,17 +131,17 @@ def _flush(stream: _Stream, last: bool, number: int, length: int, ends_table: np
     return batch, rest, number + len(cuts)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], ranks: str, length: int, step: int, sentence_cost: int, word_cost: int) -> Iterator[pa.RecordBatch]:
-    path = public_tokenizers.path(ranks)
-    enc, table = encoding(path), sentence_ends(path)
+def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int, step: int, sentence_cost: int, word_cost: int) -> Iterator[pa.RecordBatch]:
+    path = public_tokenizers.path(vocabulary)
+    encode, table = token_ids(path), sentence_ends(path)
     number = TaskContext.get().partitionId() << 40
     stream = _Stream()
     plan = partial(_flush, length=length, ends_table=table, step=step, sentence_cost=sentence_cost, word_cost=word_cost)
     for batch in batches:
         for part in chunks(batch, "text"):
-            texts = pc.fill_null(part.column("text"), "").to_pylist()
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), np.uint32(0)).astype(np.uint32)
+            found, begin = encode.of(part.column("text"))
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                ids = np.append(found[a:b], np.uint32(0))
                 stream.add(doc_id, 0, len(ids), ids)
                 if stream.size >= BLOCK_IDS:
                     out, stream, number = plan(stream, False, number)
@@ -160,17 +150,19 @@ def _pack(batches: Iterator[pa.RecordBatch], ranks: str, length: int, step: int,
         yield plan(stream, True, number)[0]
 
 
-def pack(docs: DataFrame, length: int = 1024, step: int = 8, sentence_cost: int = 2, word_cost: int = 8, ranks: str = RANKS) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, step: int = 8, sentence_cost: int = 2, word_cost: int = 8, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and ids (little-endian unsigned 32-bit).
 
-    A document's ids are its text's (null and empty: none) and then 0, so each has at least one piece. Order is the
-    order of rows in each partition; nothing is shuffled, and a partition's last sequence is the only one whose
-    padding its neighbours can't take. A sequence's number is its partition's, times 2**40, plus its place there.
-    Repeated rows are packed as often as they come, a null doc_id stays null, other columns aren't carried.
+    A document's ids are its text's by the tokenizers library (null and empty: none; a special string inside a text is
+    its one id) and then 0, so each has at least one piece. The library encodes each different piece (word) of a task
+    once. Order is the order of rows in each partition; nothing is shuffled, and a partition's last sequence is the
+    only one whose padding its neighbours can't take. A sequence's number is its partition's, times 2**40, plus its
+    place there. A text of any length, with or without blanks, is one document, held whole by its task. Repeated rows
+    are packed as often as they come, a null doc_id stays null, other columns aren't carried. No rows, no pieces.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(partial(_pack, ranks=ranks, length=length, step=step, sentence_cost=sentence_cost, word_cost=word_cost), SCHEMA)
+    return docs.mapInArrow(partial(_pack, vocabulary=vocabulary, length=length, step=step, sentence_cost=sentence_cost, word_cost=word_cost), SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import base64
+import random
+import string
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -10,10 +15,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.packing import best_cuts, encoding, op3_packing, pack
+from ledgerline.llm.packing import best_cuts, op3_packing, pack
+from ledgerline.llm.pretokens import TokenIds
 from ledgerline.llm.token_counts import load_merges, op2_token_counts, surviving, token_counts
 
-LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 ODD = [None, "", " ", "a" * 5000, "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "don't  we'll\n\n\t é́ 你好 🙂🙂", "  lead", "tail  ", "  ", "1234567 89", "-" * 300, "aaaa aaab" * 200]
 
 
@@ -88,7 +95,7 @@ def test_blocks_of_a_stream(spark, monkeypatch, sf_dir):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
     monkeypatch.setattr(packing, "BLOCK_IDS", 20_000)
     monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
-    found = pa.Table.from_batches(list(packing._pack(iter([batch]), packing.RANKS, 1024, 8, 2, 8))).to_pylist()
+    found = pa.Table.from_batches(list(packing._pack(iter([batch]), packing.VOCABULARY, 1024, 8, 2, 8))).to_pylist()
     rows_ = [type("R", (), r)() for r in found]
     sequences, _ = check_packing(rows_, dict(rows))
     assert sequences <= whole + 1 + 10
@@ -96,8 +103,6 @@ def test_blocks_of_a_stream(spark, monkeypatch, sf_dir):
 
 @pytest.mark.parametrize("seed", range(5))
 def test_cuts_are_cheapest(seed):
-    import random
-
     rng = random.Random(seed)
     at, here = [], 0
     for _ in range(12):
@@ -107,13 +112,44 @@ def test_cuts_are_cheapest(seed):
     price = {0: 0}
     for j, place in enumerate(at):
         price[place] = min(price[i] + 8 - (place - i) + cost[j] for i in price if place - i <= 8)
-    import numpy as np
-
     cuts = best_cuts(np.array(at), np.array(cost), 8)
     assert sum(8 - (b - a) + cost[at.index(b)] for a, b in zip([0, *cuts], cuts)) == price[at[-1]]  # noqa: B905
 
 
-def test_ranks_file_is_the_same_vocabulary():
-    enc = encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for text in ODD:
-        assert enc.encode(text or "", allowed_special="all") == ids_of(text)
+LONG = {
+    "blanks": " " * 2_000_000 + "x",
+    "no blanks": "".join(random.Random(5).choices("etaoin", k=10_000_000)),
+    "base64": base64.b64encode(random.Random(6).randbytes(1_500_000)).decode(),
+    "one letter": "a" * 2_000_000,
+}
+
+
+def test_very_long_texts(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(LONG.values())], "doc_id long, text string")
+    want = {i: ids_of(t) for i, t in enumerate(LONG.values())}
+    assert {r.doc_id: r.n_tokens for r in token_counts(frame).collect()} == {i: len(x) for i, x in want.items()}
+    by = {}
+    for r in pack(frame).select("doc_id", "start", "ids").orderBy("doc_id", "start").collect():
+        by.setdefault(r.doc_id, []).append(r.ids)
+    assert all(b"".join(by[i]) == np.array([*x, 0], "<u4").tobytes() for i, x in want.items())
+
+
+def test_base64_in_seconds():
+    start = time.perf_counter()
+    word = "".join(random.Random(7).choices(string.ascii_letters, k=2_000_000))
+    assert surviving(pa.array([word]), load_merges(PATH)).tolist() == [len(ids_of(word))]
+    assert time.perf_counter() - start < 20  # the library's own time included
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("   \u00a0\u2003\u3000\n\t\x1c\x85a1!'s\u0558é\u200b\u0897<|"), max_size=30), max_size=4))
+def test_pieces_are_encoded_as_in_their_text(texts):
+    """Also characters that two Unicode versions class differently (U+0558) and white space beyond ASCII."""
+    ids, begin = TokenIds(PATH).of(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [ids_of(t) for t in texts]
+
+
+def test_counts_of_any_character(spark):
+    rows = [(k, "".join(f"a{chr(c)}1 {chr(c)}" for c in range(k, k + 0x800) if not 0xD800 <= c < 0xE000)) for k in range(0, 0x20000, 0x800)]
+    found = token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {k: len(ids_of(t)) for k, t in rows}
