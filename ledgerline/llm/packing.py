@@ -14,7 +14,6 @@ enters and leaves it once.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -26,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
-from .pretokens import token_ids
-from .token_counts import byte_letters
+from .pretokens import byte_letters, token_ids
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 20  # ids that are planned together; a block's last windows go on into the next one
@@ -48,35 +46,35 @@ def sentence_ends(path: str) -> np.ndarray:
 def cut_candidates(ids: np.ndarray, ends: np.ndarray, after: np.ndarray, step: int, sentence_cost: int, word_cost: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may end in a stream (ascending, the stream's end included), and what each costs.
     ends: where documents end; after: of each id, whether a sentence may end there."""
-    at = np.union1d(np.flatnonzero(after) + 1, ends)
-    gaps = np.diff(np.append(0, at))
-    wide = np.flatnonzero(gaps > step)
-    if len(wide):
-        begin, more = np.append(0, at)[wide], (gaps[wide] - 1) // step
-        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        at = np.union1d(at, np.repeat(begin, more) + (nth + 1) * step)
-    cost = np.full(len(at), word_cost, np.int64)
-    cost[np.isin(at, np.flatnonzero(after) + 1)] = sentence_cost
-    cost[np.isin(at, ends)] = 0
-    return at, cost
+    kind = np.zeros(len(ids) + 1, np.int8)  # 1 every step ids, 2 after a sentence, 3 after a document
+    kind[1:][after] = 2
+    kind[ends] = 3
+    at = np.flatnonzero(kind)
+    begin = np.append(0, at)[:-1]
+    more = np.maximum(0, at - begin - 1) // step
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    kind[np.repeat(begin, more) + (nth + 1) * step] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0, word_cost, sentence_cost, 0], np.int64)[kind[at]]
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     """The ends of the windows of the cheapest cut; the last entry of ``at`` is the stream's end."""
     places, penalties = [0, *at.tolist()], [0, *cost.tolist()]
-    value, back = [0] * len(places), [0] * len(places)
-    queue = deque([(0, 0)])  # (f(i) + at(i), i), ascending in both
+    back = [0] * len(places)
+    keys, nodes, head = [0], [0], 0  # the queue from head on: f(i) + at(i), ascending, and i
     for j in range(1, len(places)):
         here = places[j]
-        while here - places[queue[0][1]] > length:
-            queue.popleft()
-        least, i = queue[0]
-        back[j] = i
-        value[j] = f = penalties[j] + least + length - here
-        key = f + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        first = here - length
+        while places[nodes[head]] < first:
+            head += 1
+        back[j] = nodes[head]
+        key = penalties[j] + keys[head] + length  # f(j) + at(j)
+        while keys[-1] >= key and len(keys) > head:
+            keys.pop()
+            nodes.pop()
+        keys.append(key)
+        nodes.append(j)
     cuts, j = [], len(places) - 1
     while j:
         cuts.append(places[j])

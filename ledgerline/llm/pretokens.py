@@ -19,20 +19,32 @@ KNOWN_IDS = 8_000_000  # and their ids
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def pieces_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Texts cut before each space that a character other than white space follows: the number of each piece, the
-    different pieces, and the first piece of each text (one more entry than texts).
+    """Texts cut into pieces that are encoded alike alone and in their text: the number of each piece, the different
+    pieces, and the first piece of each text (one more entry than texts).
 
-    A pre-token always begins at such a space, whatever stands before it (of a run of white space the pattern leaves
-    the last to what follows), so that pieces are cut and encoded alike alone and in their text. After the space only
-    bytes count that surely begin no white space: those from 0x21 on, but for the first bytes of white space beyond ASCII.
+    A pre-token always begins at a space that a character other than white space follows, whatever stands before it (of
+    a run of white space the pattern leaves the last to what follows); at a comma or stop after an ASCII letter; and at
+    an ASCII letter after a line end that is the only white space there. After a space only bytes count that surely
+    begin no white space: those from 0x21 on, but for the first bytes of white space beyond ASCII.
     """
     data, rows = flat_bytes(texts)
-    solid = np.ones(256, bool)
+    solid, letter, plain = np.ones(256, bool), np.zeros(256, bool), np.zeros(256, bool)
     solid[:0x21] = solid[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+    letter[0x41:0x5B] = letter[0x61:0x7B] = plain[0x21:0x7F] = True
     cut = np.zeros(len(data) + 1, bool)
     if len(data):
-        cut[: len(data) - 1] = (data[:-1] == 0x20) & solid[data[1:]]
+        here, onward = data[:-1], data[1:]
+        cut[: len(here)] = (here == 0x20) & solid[onward]
+        cut[1 : len(data)] |= letter[here] & ((onward == 0x2C) | (onward == 0x2E))
+        cut[2 : len(data)] |= plain[data[:-2]] & (data[1:-1] == 0x0A) & letter[data[2:]]
         cut[rows] = True
     at = np.flatnonzero(cut)
     column = pa.Array.from_buffers(pa.large_string(), max(0, len(at) - 1), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -84,6 +96,12 @@ class TokenIds:
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        letters = byte_letters()
+        self._bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self._bytes_of[i] = sum(c in letters for c in token)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            self._bytes_of[i] = len(token.content.encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -91,11 +109,24 @@ class TokenIds:
         self._ids = np.empty(0, np.uint32)
         self._begin = np.zeros(1, np.int64)
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        self._known.update(zip(pieces, range(len(self._known), len(self._known) + len(pieces)), strict=True))
-        self._ids = np.append(self._ids, np.fromiter(chain.from_iterable(found), np.uint32))
-        self._begin = np.append(self._begin, self._begin[-1] + np.cumsum([len(x) for x in found]))
+        """Those with a space and something after it are encoded as one text, as a pre-token begins at each, and its ids
+        dealt out by their bytes; the others one by one."""
+        apart = [len(p) > 1 and p[0] == " " and ("!" <= p[1] <= "~" or p[1].isalnum()) for p in pieces]
+        spaced = [p for p, a in zip(pieces, apart, strict=True) if a]
+        (joined,) = self._encode(["".join(spaced)])
+        joined = np.array(joined, np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in spaced], dtype=np.int64)
+        sizes = [np.diff(np.searchsorted(np.cumsum(self._bytes_of[joined]), ends, "right"), prepend=0)]
+        others = [p for p, a in zip(pieces, apart, strict=True) if not a]
+        found = self._encode(others)
+        sizes.append(np.array([len(x) for x in found], np.int64))
+        self._known.update(zip(chain(spaced, others), range(len(self._known), len(self._known) + len(pieces)), strict=True))
+        self._ids = np.concatenate([self._ids, joined, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self._begin = np.append(self._begin, self._begin[-1] + np.cumsum(np.concatenate(sizes)))
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each begins (one more entry than texts). Null is empty."""

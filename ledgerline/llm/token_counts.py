@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, flat_bytes
-from .pretokens import KNOWN_PIECES, pieces_of, splitter
+from .pretokens import KNOWN_PIECES, byte_letters, pieces_of, splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 NO_RANK = np.iinfo(np.int64).max
@@ -42,13 +42,6 @@ class Merges:
     by_rank: np.ndarray
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @lru_cache(4)
 def load_merges(path: str) -> Merges:
     with open(path, encoding="utf-8") as file:

@@ -21,6 +21,7 @@ from ledgerline.llm.token_counts import load_merges, op2_token_counts, surviving
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+IDS = TokenIds(PATH)
 ODD = [None, "", " ", "a" * 5000, "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "don't  we'll\n\n\t é́ 你好 🙂🙂", "  lead", "tail  ", "  ", "1234567 89", "-" * 300, "aaaa aaab" * 200]
 
 
@@ -145,7 +146,7 @@ def test_base64_in_seconds():
 @given(st.lists(st.text(alphabet=st.sampled_from("   \u00a0\u2003\u3000\n\t\x1c\x85a1!'s\u0558é\u200b\u0897<|"), max_size=30), max_size=4))
 def test_pieces_are_encoded_as_in_their_text(texts):
     """Also characters that two Unicode versions class differently (U+0558) and white space beyond ASCII."""
-    ids, begin = TokenIds(PATH).of(pa.array(texts, pa.string()))
+    ids, begin = IDS.of(pa.array(texts, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [ids_of(t) for t in texts]
 
 
