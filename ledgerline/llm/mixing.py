@@ -1,12 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 The points frac(n * golden ratio), n = 0, 1, ..., fall on [0, 1) evenly at every stage; cut by the sources' cumulative
-shares of the target they give each slot its source. A source's slots are ranked; its slot of rank k takes the k-th
-block of its shuffled documents, blocks being equally many words, and begins again at the first block after the last.
-
-A source of few blocks would get a slot more or less by chance, so it has a schedule of its own, with slots of one
-word. All of these are its own: there are as many as its target has words, and what they take of a document follows
-from where it begins and ends, without rows for them.
+shares of the slots they give each slot its source, and a source's slots are ranked. A source's documents, shuffled,
+are one stream of words that begins again after its end; its blocks are equally many words, its target divided by its
+slots, and the slot of rank k takes the k-th block. So every source's slots take its target to the word, however
+small it is: only how finely it is spread over the schedule depends on its share.
 """
 
 from __future__ import annotations
@@ -17,8 +15,9 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 SLOTS = 1 << 16
-FINE = 1 << 10  # a source whose target has fewer blocks has a schedule of its own
-CELLS = 1 << 10
+LEAST_SLOTS = 64  # slots that a source has beside its share of the others; the schedule grows with the number of sources
+CELL_POINTS = 16  # points of a cell of [0, 1), by which points and shares meet
+RUN = 1 << 12  # slots that are ranked together
 GOLDEN = 0.6180339887498949
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -28,121 +27,140 @@ def word_count(text: Column) -> Column:
 
 
 def shuffle_of(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5("text")))
 
 
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, its key (never null), size and the hash that shuffles a source, with its bucket (first bits)."""
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    return docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), shuffle_of(seed).alias("shuffle")).withColumn("bucket", F.shiftrightunsigned("shuffle", 54))
+def key_of(source: str) -> Column:
+    """Sources as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _by_code_point() -> list[Column]:
-    return [F.col("key") == "", F.col("key")]
+def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, source, its key, size and the hash that shuffles a source, with its bucket (first digits)."""
+    return docs.select("doc_id", "source", key_of("source").alias("key"), word_count(F.col("text")).alias("size"), shuffle_of(seed).alias("shuffle")).withColumn("bucket", F.substring("shuffle", 1, 3))
 
 
 def _before(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), slots: int = SLOTS) -> DataFrame:
-    """key, source_size, target and width (words of a block): ``share`` of all words divided by the repeating weights, none over ``most``
-    times its source.
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the sum over all rows before this one in the order. Rows are dealt out by ranges of the
+    order, so that a window runs in each range and the one over all only joins the ranges' sums, one row each."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("order_range", F.spark_partition_id()), "ranges")
+    inside = _before(Window.partitionBy("order_range").orderBy(*order))
+    ranges = ranged.groupBy("order_range").agg(*(F.sum(c).alias(f"{name}_range") for name, c in sums.items()))
+    earlier = _before(Window.orderBy("order_range"))
+    ranges = ranges.select("order_range", *(F.coalesce(F.sum(f"{name}_range").over(earlier), F.lit(0)).alias(f"{name}_range") for name in sums))
+    out = ranged.join(ranges, "order_range")
+    return out.withColumns({name: F.col(f"{name}_range") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).drop("order_range", *(f"{name}_range" for name in sums))
+
+
+def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """key, nth (from 0, by code point, null last), source_size and target: ``share`` of all words divided by the
+    repeating weights, none over ``most`` times its source. One row for each source.
 
     Sharing the excess again and again ends with the sources at their limit being those of the smallest limit per
     weight, so they are sorted by that: the first that its equal share of the rest doesn't fill sets the level for
-    all after it. One row for each source; sources come by code point, null last.
+    all after it.
     """
-    whole = Window.partitionBy()
     each = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
-    each = each.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(*_by_code_point())) - 1) % len(weights) + 1))
+    each = running(each, [F.col("key") == "", F.col("key")], {"nth": F.lit(1).cast("long")})
+    each = each.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long"))
     each = each.withColumn("limit", F.col("source_size") * F.lit(most))
-    fill = Window.orderBy(F.col("limit") / F.col("weight"), *_by_code_point())
-    each = (
-        each.withColumn("goal", F.sum("source_size").over(whole) * F.lit(share))
-        .withColumn("rest", F.col("goal") - F.coalesce(F.sum("limit").over(_before(fill)), F.lit(0.0)))
-        .withColumn("level", F.col("rest") / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(_before(fill)), F.lit(0))))
-        .withColumn("free", F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct(F.row_number().over(fill).alias("nth"), "level")))
-        .withColumn("level", F.min("free").over(whole)["level"])
-    )
-    each = each.withColumn("target", F.least("limit", F.col("level") * F.col("weight")))
-    width = F.greatest(F.lit(1), F.ceil(F.sum("target").over(whole) / slots)).cast("long")
-    return each.select("key", "source_size", "target", width.alias("width"))
+    each = running(each, [F.col("limit") / F.col("weight"), F.col("nth")], {"full": F.col("limit"), "filled_weight": F.col("weight")})
+    each = materialise(each, "filling")
+    whole = each.agg((F.sum("source_size") * F.lit(share)).alias("goal"), F.sum("weight").alias("all_weight"))  # one row
+    each = each.crossJoin(whole).withColumn("level", (F.col("goal") - F.col("full")) / (F.col("all_weight") - F.col("filled_weight")))
+    free = F.col("level") * F.col("weight") <= F.col("limit")
+    level = each.where(free).agg(F.min_by("level", F.struct(F.col("limit") / F.col("weight"), "nth")).alias("level"))  # one row
+    each = each.drop("level").crossJoin(level)
+    return each.select("key", "nth", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), F.col("limit")).alias("target"))
+
+
+def shares(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """goal with words (the target, rounded; sources of none are left out), low and high (its part of [0, 1)) and
+    n_points. Each source's part is its share of ``slots``, and ``LEAST_SLOTS`` more (a quarter of that for sources of
+    fewer words); there are as many points as all parts take."""
+    goal = goal.withColumn("words", F.round("target").cast("long")).where("words > 0")
+    total = goal.agg(F.sum("words").alias("all_words"), F.count("*").alias("n_sources"))  # one row
+    goal = goal.crossJoin(total).withColumn("part", F.ceil(F.col("words") / F.col("all_words") * slots) + F.least(F.greatest("words", F.lit(LEAST_SLOTS // 4)), F.lit(LEAST_SLOTS)))
+    goal = running(goal, [F.col("nth")], {"begin": F.col("part")})
+    return goal.crossJoin(goal.agg(F.sum("part").alias("n_points"))).withColumn("low", F.col("begin") / F.col("n_points")).withColumn("high", (F.col("begin") + F.col("part")) / F.col("n_points"))
 
 
 def schedule(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row for each slot: slot, key, block and round (0 in the first pass through the source). At most ``slots``
-    rows whatever the input, so ranking a source's slots is bounded."""
-    order = Window.orderBy(*_by_code_point())
-    shares = (
-        goal.where("target > 0")
-        .withColumn("total", F.sum("target").over(Window.partitionBy()))
-        .withColumn("low", F.coalesce(F.sum("target").over(_before(order)), F.lit(0.0)) / F.col("total"))
-        .withColumn("high", F.coalesce(F.lead("low").over(order), F.lit(1.0)))
-        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")))
-        .withColumn("n_slots", F.ceil(F.col("total") / F.col("width")))
-        .withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))))
-    )
-    points = goal.sparkSession.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
-    hit = points.join(shares, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")) & (F.col("slot") < F.col("n_slots")))
-    ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1)
-    return ranked.select("slot", "key", (F.col("rank") % F.col("blocks")).cast("long").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("round"))
-
-
-def turns(goal: DataFrame, most: float = 2.0, slots: int = SLOTS) -> DataFrame:
-    """One row for each block: key, block, width, times (slots that take it) and earlier (times of the blocks before).
-    All sources have at most about slots / share blocks together."""
-    blocks = goal.where("source_size > 0").select("key", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("source_size") / F.col("width")) - 1)).alias("block"))
-    times = schedule(goal, slots).where(F.col("round") < int(most)).groupBy("key", "block").agg(F.count("*").alias("times"))
-    blocks = blocks.join(times, ["key", "block"], "left").fillna(0, ["times"])
-    return blocks.withColumn("earlier", F.coalesce(F.sum("times").over(_before(Window.partitionBy("key").orderBy("block"))), F.lit(0)))
-
-
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, shuffle, size, source_size, target and taken (words the mix takes of the document, repeats counted).
-
-    Words are runs of characters other than 0x20 and 0x09 to 0x0D; a null text has none. A null source is a source.
-    Sources without words have target 0, documents without words are taken 0 times. A block is the mix's words
-    divided by ``slots``, rounded up; a source of ``FINE`` blocks or more misses its target by some blocks at most, any
-    other by less than a word. A document that lies in neighbouring blocks is taken with each. No document is taken over ``most`` (whole) times. Repeated rows are
-    documents of their own. The same rows give the same mix, however they are partitioned. An empty table gives an
-    empty table. Columns other than doc_id, text and source aren't read.
-    """
+    """One row for each slot: slot, key, rank (from 0), n_slots and words (of its source). Points and shares meet in the
+    cells of [0, 1) that both touch."""
+    parts = shares(goal, slots).withColumn("n_cells", F.expr(f"n_points div {CELL_POINTS} + 1"))
+    cell = lambda point: F.least(F.floor(point * F.col("n_cells")), F.col("n_cells") - 1)
+    cells = parts.select("key", "words", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    points = parts.agg(F.max("n_points").alias("n_points"), F.max("n_cells").alias("n_cells")).where("n_points > 0")  # one row
+    points = points.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_points - 1) div {RUN}")))).repartition("run")
+    points = points.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("n_points")) - 1)))
+    points = points.withColumn("point", F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1.0))).select("slot", "run", "point", cell(F.col("point")).alias("cell"))
+    hit = points.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    hit = materialise(hit.select("slot", "run", "key", "words"), "slots")
+    runs = hit.groupBy("key", "run").agg(F.count("*").alias("n"))
+    by_key = Window.partitionBy("key")
+    runs = runs.select("key", "run", F.coalesce(F.sum("n").over(_before(by_key.orderBy("run"))), F.lit(0)).alias("earlier"), F.sum("n").over(by_key).alias("n_slots"))
+    rank = F.col("earlier") + F.row_number().over(Window.partitionBy("key", "run").orderBy("slot")) - 1
+    return hit.join(runs, ["key", "run"]).select("slot", "key", rank.alias("rank"), "n_slots", "words")
+
+
+def placed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """sized, with begin and end: the document's words among its source's, shuffled. Sums of buckets first, then a
+    running sum inside each, so that a source of any size isn't one task."""
     base = materialise(sized(docs, seed), "mixing")
-    goal = materialise(targets(base, share, most, weights, slots), "targets")
-    goal = goal.withColumn("alone", F.col("target") < F.col("width") * FINE)
-    taking = materialise(turns(goal.where("not alone"), most, slots), "turns")
-    # where a document begins among its source's words: its bucket's start, then a running sum inside the bucket
     sums = base.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(_before(Window.partitionBy("key").orderBy("bucket"))), F.lit(0))).drop("words")
-    inside = _before(Window.partitionBy("key", "bucket").orderBy("shuffle", "doc_id", "size"))
+    inside = _before(Window.partitionBy("key", "bucket").orderBy("shuffle", "size"))
     begin = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = base.join(starts, ["key", "bucket"]).withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size"))
-    placed = placed.join(goal, "key")
-    placed = placed.withColumn("first", F.floor(F.col("begin") / F.col("width"))).withColumn("last", F.floor((F.col("end") - 1) / F.col("width")))
+    return base.join(starts, ["key", "bucket"]).withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size"))
+
 
-    def block_of(side: str) -> DataFrame:
-        return F.broadcast(taking.select("key", F.col("block").alias(side), F.col("times").alias(f"{side}_times"), F.col("earlier").alias(f"{side}_earlier")))
+def takings(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """key, begin (of a document), slot, skip (words of the document before) and words: what each slot takes of each
+    document. rows: key, begin, end, source_size, n_slots and words (of the source); plan: the schedule.
 
-    def words_upto(side: str, at: str) -> Column:
-        return F.col(f"{side}_earlier") * F.col("width") + (F.col(at) - F.col(side) * F.col("width")) * F.col(f"{side}_times")
+    A source of S words and n slots that take T words: the slot of rank r takes words floor(r T / n) to
+    floor((r + 1) T / n) of the stream, and word p of the stream lies in the slot of rank ((p + 1) n - 1) div T.
+    """
+    times = F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("source_size")))  # whole and part passes
+    rows = rows.where("end > begin and n_slots > 0").withColumn("shift", F.explode(times)).withColumn("shift", F.col("shift") * F.col("source_size"))
+    rows = rows.withColumn("from", F.col("begin") + F.col("shift")).withColumn("to", F.least(F.col("end") + F.col("shift"), F.col("words"))).where("from < to")
+    rank = lambda p: F.expr(f"(({p} + 1) * n_slots - 1) div words")
+    rows = rows.withColumn("rank", F.explode(F.sequence(rank("`from`"), rank("`to` - 1"))))
+    met = rows.join(plan.select("slot", "key", "rank"), ["key", "rank"])
+    low, high = F.greatest("from", F.expr("rank * words div n_slots")), F.least("to", F.expr("(rank + 1) * words div n_slots"))
+    return met.select("key", "begin", "slot", (low - F.col("from")).alias("skip"), (high - low).alias("words")).where("words > 0")
 
-    placed = placed.join(block_of("first"), ["key", "first"], "left").join(block_of("last"), ["key", "last"], "left")
-    own_slots = F.least(F.round("target").cast("long"), F.col("source_size") * int(most))
-    passes, more = F.floor(own_slots / F.col("source_size")), own_slots % F.col("source_size")
 
-    def own_words_upto(at: str) -> Column:
-        return F.col(at) * passes + F.least(F.col(at), more)
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, slots: int = SLOTS) -> DataFrame:
+    """doc_id, source, shuffle, begin, size, source_size, target, taken (words the mix takes of the document, repeats
+    counted) and first_slot (its first place in the mix; null if it isn't taken).
 
-    of_slots = F.when(F.col("alone"), own_words_upto("end") - own_words_upto("begin")).otherwise(words_upto("last", "end") - words_upto("first", "begin"))
-    taken = F.when(F.col("size") > 0, of_slots).otherwise(F.lit(0))
-    return placed.select("doc_id", "source", "shuffle", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    Words are runs of characters other than 0x20 and 0x09 to 0x0D; a null text has none. A null source is a source.
+    Each source's taken words are its target, rounded. Sources without words have target 0, documents without words
+    are taken 0 times; no document is taken over ``most`` times (rounded up). Repeated rows are documents of their own. The
+    same rows give the same mix, however they are partitioned. An empty table gives an empty table. Columns other than
+    doc_id, text and source aren't read.
+    """
+    rows = placed(docs, seed)
+    goal = materialise(targets(rows, share, most, weights), "targets")
+    plan = materialise(schedule(goal, slots), "schedule")
+    sources = goal.join(plan.groupBy("key").agg(F.max("n_slots").alias("n_slots"), F.max("words").alias("words")), "key", "left")
+    rows = materialise(rows.join(materialise(sources, "sources").drop("nth"), "key"), "placed")
+    taken = takings(rows.select("key", "begin", "end", "source_size", "n_slots", "words"), plan).groupBy("key", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    # a document without words may begin where another does; these have places of their own, spread by their hash
+    rows = rows.withColumn("at", F.when(F.col("size") > 0, F.col("begin")).otherwise(-1 - F.crc32("shuffle")))
+    out = rows.join(taken.withColumnRenamed("begin", "at"), ["key", "at"], "left")
+    return out.select("doc_id", "source", "shuffle", "begin", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_corpus(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """The documents as the mix takes them: a row for each whole time, and one with the first words (one space
-    between) where a last block ends inside the document. Documents that aren't taken go. Columns are kept; repeated
+    between) where the target ends inside the document. Documents that aren't taken go. Columns are kept; repeated
     rows are each taken as often as the one of them that is taken most."""
     taken = mix(docs, seed=seed, **options).groupBy(F.col("shuffle").alias("mix_key")).agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0")
     rows = docs.withColumn("mix_key", shuffle_of(seed)).join(taken, "mix_key")
@@ -154,4 +172,4 @@ def mixed_corpus(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "shuffle")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

@@ -32,4 +32,11 @@ l AS (SELECT p.a, p.b, na.set_id AS set_a, nb.set_id AS set_b FROM p JOIN n na O
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
 c AS (SELECT a, count(*) AS n_links, count(DISTINCT CASE WHEN set_a <> set_b THEN set_b END) AS n_texts FROM l GROUP BY a)
 SELECT r.doc_id, r.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts FROM (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a) r LEFT JOIN c ON r.doc_id = c.a""",
+    "op7_mixing": """WITH d AS (SELECT doc_id, coalesce('=' || source, '~') AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR), md5(text))) AS h FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY k) - 1 AS nth FROM d GROUP BY k),
+w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, CAST(2 * source_size AS DOUBLE) AS most FROM s),
+f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT k, source_size, least(most, weight * (SELECT level FROM f WHERE level * weight <= most ORDER BY most / weight, nth LIMIT 1)) AS target FROM f),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d JOIN t ON d.k = t.k)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b + size, words) - b) + greatest(0, least(b + source_size + size, words) - b - source_size) AS BIGINT) AS taken FROM p""",
 }
