@@ -9,8 +9,12 @@ for pairs whose choices die out: with 1 / CHOICE pairs chosen on average, a pair
 run with a chance of 0.2 (one level) to 0.32 (three), by twelve with one in 10**6 at most.
 
 What the buckets find are candidate links, handed on as stars. Each component of them is then compared exactly, on
-the texts, all members with all; a component over ``most`` members is cut in blocks and each pair of blocks compared,
-so that nothing is lost and no task holds more than two blocks.
+the sets of hashed n-grams, all members with all; a component over ``most`` members is cut in blocks and each pair of
+blocks compared, so that nothing is lost and no task holds more than two blocks. A set goes to as many cells as its
+component has blocks, so a component of M different sets ships 2 M^2 / most sets of hashes.
+
+Sets are told apart by their digest and named by a number of their own, never by a doc_id, which may come with several
+texts.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, as_signed, chunks, mixed, multipliers, rolled, words_of
+from .arrays import Words, as_signed, chunks, flat_bytes, mixed, multipliers, rolled, words_of
 from .components import components
 from .shared import materialise
 
@@ -62,12 +66,23 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
                 minima[:, k] = np.minimum.reduceat(((gram ^ shift[k]) * factor[k]) >> np.uint64(32), begin)
             data, ends = gram.tobytes(), np.append(begin[1:], len(gram))[: len(begin)]
             digest = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+            at = pa.array(row[begin])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row[begin])), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in minima], pa.binary())],
-                ["doc_id", "digest", "signature"],
+                [part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in minima], pa.binary())],
+                ["doc_id", "text_hash", "digest", "signature"],
             )
 
 
+def _gram_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            row, gram = _sets(words_of(part.column("text")), n)
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            data = gram.tobytes()
+            sets = [data[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], ["rep", "grams"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PLACES)
 
@@ -187,35 +202,57 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many tokens each set of left has in common with each of right (numbers of sets); tokens are 0, 1, ..."""
+    place = np.full((2, int(max(left.max(), right.max())) + 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        at = slice(*np.searchsorted(token, (low, low + width)))
+        sides = []
+        for side, size in zip(place, (len(left), len(right)), strict=True):
+            inside = side[row[at]] >= 0
+            has = np.zeros((size, width), np.float32)
+            has[side[row[at]][inside], token[at][inside] - low] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Each member's exact links in a cell. left and right: a cell of two blocks compares across them only."""
     for table in _groups(batches, ["component", "left", "right"]):
-        words = words_of(table.column("text").combine_chunks())
-        row, gram = _sets(words, n)
-        size = np.bincount(row, minlength=table.num_rows)
+        grams = table.column("grams").combine_chunks().cast(pa.large_binary())
+        data, ends = flat_bytes(grams)
+        gram = np.frombuffer(data.tobytes(), np.uint64)
+        size = np.diff(ends) // 8
+        row = np.repeat(np.arange(len(size)), size)
         _, token, seen = np.unique(gram, return_inverse=True, return_counts=True)
         shared = seen[token] > 1
         row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        common = np.zeros((table.num_rows, table.num_rows), np.float32)
-        width = 4096
-        for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-            at = slice(*np.searchsorted(token, (low, low + width)))
-            has = np.zeros((table.num_rows, width), np.float32)
-            has[row[at], token[at] - low] = 1
-            common += has @ has.T
-        near = common.astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
+        reps, copies = table.column("rep").to_numpy(), table.column("n_copies").to_numpy()
         block = table.column("block").to_numpy()
-        if table.column("left")[0].as_py() != table.column("right")[0].as_py():
-            near &= block[:, None] != block[None, :]
-        np.fill_diagonal(near, False)
-        copies = table.column("n_copies").to_numpy()
-        reps = table.column("rep").to_numpy()
-        order = np.argsort(reps)
-        label = np.empty(len(reps), np.int64)
-        label[order] = order[_labels(near[np.ix_(order, order)])]
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(reps[label]), pa.array(near @ copies), pa.array(near.sum(1))], ["rep", "root", "links", "texts"])
+        left = right = np.argsort(reps)
+        across = table.column("left")[0].as_py() != table.column("right")[0].as_py()
+        if across:
+            left, right = left[block[left] == table.column("left")[0].as_py()], right[block[right] == table.column("right")[0].as_py()]
+            if not (len(left) and len(right)):
+                continue
+        common = _common(row, token, left, right)
+        near = common.astype(np.float64) * (1 + threshold) >= threshold * (size[left][:, None] + size[right][None, :]) - 1e-6
+        if across:
+            both = np.concatenate([left, right])
+            whole = np.zeros((len(both), len(both)), bool)
+            whole[: len(left), len(left) :] = near
+            whole |= whole.T
+            order = np.argsort(reps[both])
+            both, whole = both[order], whole[np.ix_(order, order)]
+        else:
+            both, whole = left, near
+            np.fill_diagonal(whole, False)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[both]), pa.array(reps[both][_labels(whole)]), pa.array(whole @ copies[both]), pa.array(whole.sum(1))], ["rep", "root", "links", "texts"])
 
 
 def _buckets(choices: DataFrame) -> DataFrame:
@@ -256,43 +293,55 @@ def candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, sm
     return out
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 12, depth: int = 3, small: int = 1500, most: int = 1000) -> DataFrame:
-    """doc_id, class_id, n_links and n_texts of every document.
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 12, depth: int = 3, small: int = 1500, most: int = 2000) -> DataFrame:
+    """doc_id, class_id, n_links, n_texts and class_key of every row.
 
-    class_id: the smallest doc_id that links of similarity >= threshold lead to. n_links: documents linked to this one
-    directly, documents of the same set (copies) included. n_texts: different sets linked to this one's.
+    class_id: the smallest doc_id that links of similarity >= threshold lead to. n_links: rows linked to this one
+    directly, rows of the same set (copies) included. n_texts: different sets linked to this one's. class_key: the class
+    by the least digest of its sets (hexadecimal).
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D, n-grams of them are taken of whole texts; a text of
     fewer than n words is one n-gram. Null texts and texts without words have no set, hence no links: each is a class
-    of its own. Rows with a null doc_id are left as they are, with a null class and no links. Repeated rows are copies
-    of each other. Other columns aren't carried.
+    of its own, without a key. Rows with a null doc_id are left as they are, with a null class and no links. Repeated
+    rows are copies of each other. A doc_id with several texts doesn't link them: each row has its own text's class, and
+    where two classes have the same smallest doc_id their keys tell them apart. A long text is one set, held whole by its
+    task. Other columns aren't carried. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = docs.where("doc_id is not null and text is not null")
-    signed = materialise(own.mapInArrow(partial(_signatures, n=n), "doc_id long, digest binary, signature binary"), "signatures")
-    sets = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("signature").alias("signature"))
-    sets = materialise(sets, "sets")
+    signed = materialise(own.mapInArrow(partial(_signatures, n=n), "doc_id long, text_hash long, digest binary, signature binary"), "signatures")
+    sets = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n_copies"), F.first("signature").alias("signature"))
+    sets = materialise(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # written once, so the numbers stay
     parts = components(candidate_links(sets, threshold, runs, depth, small))
     parts = parts.unionByName(parts.select(F.col("root").alias("id"), "root").distinct())
     parts = materialise(parts.join(parts.groupBy("root").agg(F.count("*").alias("members")), "root"), "parts")
-    members = parts.join(sets.select(F.col("rep").alias("id"), "n_copies").groupBy("id").agg(F.sum("n_copies").alias("n_copies")), "id")
-    blocks = F.ceil(F.col("members") * 2 / most)
-    members = members.withColumn("blocks", F.when(F.col("members") > most, blocks).otherwise(1)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = members.select(F.col("root").alias("component"), F.col("id").alias("rep"), "n_copies", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    texts = own.join(cells.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = materialise(parts.withColumnRenamed("id", "rep").join(sets.select("rep", "n_copies", "first"), "rep"), "members")
+    texts = own.join(members.select("rep", "first.*"), ["doc_id", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
+    grams = texts.mapInArrow(partial(_gram_sets, n=n), "rep long, grams binary")
+    blocks = F.when(F.col("members") > most, F.ceil(F.col("members") * 2 / most)).otherwise(1)
+    cells = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["component", "left", "right"]
-    cells = texts.withColumnRenamed("doc_id", "rep").join(cells, "rep").repartition(*keys).sortWithinPartitions(*keys)
-    found = materialise(cells.mapInArrow(partial(_links, n=n, threshold=threshold), "rep long, root long, links long, texts long"), "found")
+    cells = cells.select(F.col("root").alias("component"), "rep", "n_copies", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    cells = grams.join(cells, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    found = materialise(cells.mapInArrow(partial(_links, threshold=threshold), "rep long, root long, links long, texts long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = sets.select("digest", "rep", "n_copies").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "rep")
+    linked = roots.join(sets.select("rep", "digest", "first"), "rep")
+    classes = linked.groupBy("root").agg(F.min("first.doc_id").alias("class_id"), F.min("digest").alias("class_key"))
+    named = roots.join(classes, "root").drop("root")
+    known = sets.select("digest", "rep", "n_copies", "first").join(links, "rep", "left").join(named, "rep", "left")
+    known = known.select(
+        "digest", F.coalesce("class_id", "first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+        F.coalesce("texts", F.lit(0)).alias("n_texts"), F.lower(F.hex(F.coalesce("class_key", "digest"))).alias("class_key"),
+    )
     linked = signed.select("doc_id", "digest").join(known, "digest").drop("digest")
     alone = docs.where("doc_id is null or not coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
+    none = F.lit(0).cast("long")
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_texts"), F.lit(None).cast("string").alias("class_key"))
     return linked.unionByName(alone)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_key")

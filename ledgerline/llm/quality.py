@@ -183,10 +183,12 @@ def fold_of(doc_id: str):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Learns from at most ``sample`` labelled rows (the smallest hashes of doc_id) whose crc32 mod 4 isn't 2.
-    Labels other than 0 and 1, null ids and labels without a document are left out; of repeated ids one is used."""
-    usable = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (fold_of("doc_id") != HELD_OUT)).dropDuplicates(["doc_id"])
+    Labels other than 0 and 1, null ids and labels without a document are left out; of an id's repeated labels the
+    smaller counts, of its several texts the one of the smaller hash."""
+    usable = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (fold_of("doc_id") != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # so many small rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(F.col("quality").cast("int").alias("quality"), "text", F.xxhash64("doc_id").alias("order"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("quality", "text", F.xxhash64("doc_id").alias("order"))
     found = rows.orderBy("order").select("quality", "text").mapInArrow(_features_of, "quality int, features array<int>").toArrow()
     if not found.num_rows:
         return fit([], np.empty(0))
