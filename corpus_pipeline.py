@@ -1,10 +1,14 @@
 """The corpus pipeline: five stages over documents, each on all that the one before kept.
 
 1. The quality classifier's rejects go.
-2. Of each group of near copies one document stays, that of the smallest doc_id.
+2. Of each group of near copies one row stays, that of the smallest doc_id.
 3. Word windows that a smaller document also has are taken out of the texts.
 4. Sources are mixed to their target weights: documents are left out, cut or repeated.
 5. What is left is packed into sequences.
+
+Rows are documents: repeated rows and rows of one doc_id with several texts are each judged and packed for themselves.
+Null texts count as empty, null doc_ids stay null, and an empty table gives an empty result in every stage. Columns
+beside those of documents are dropped by the first stage that meets them.
 """
 
 from __future__ import annotations
@@ -29,9 +33,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class; texts without words and null doc_ids have none and stay."""
-    classes = jaccard_join(docs).where("class_id != doc_id").select("doc_id")
-    return docs.select(*DOCUMENT_COLUMNS).join(classes, "doc_id", "left_anti")
+    """Keeps one row of each class: the smallest doc_id's (null last), of a repeated one the first as written. Each row is
+    a document of its own, so that of a doc_id with two texts one may go without the other, and of a row that is
+    repeated exactly one stays. Texts without words have no copies and stay."""
+    rows = materialise(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = jaccard_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")
+    kept = rows.select("row", "doc_id").join(classes, "row").groupBy("class_id").agg(first)
+    return rows.join(kept, "row", "left_semi").drop("row")
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does; a last part of one is its first words."""
+    """Takes each document as often as the mix does; a last part of one is its first words. A document taken twice is two
+    rows, which the next stage packs apart."""
     return mixed_corpus(docs.select(*DOCUMENT_COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
