@@ -4,13 +4,16 @@ A window is ``window`` consecutive words of one document. Its minimiser is the l
 words inside it. Consecutive windows with the same minimiser travel as one packed string to the minimiser's bucket;
 equal windows have equal minimisers and so meet there, where sorting counts them exactly.
 
-1. Count the documents of each minimiser (map-side combined). A bucket of one document has nothing to remove and
-   is left out before any text moves.
+1. Count the super-k-mers and documents of each minimiser (map-side combined). A bucket of one document has nothing
+   to remove and is left out before any text moves. Where a minimiser has over ``hot_documents`` super-k-mers, its
+   windows are divided by a second minimiser, of longer runs, and these are counted in the same way.
 2. Pack the windows of the other buckets, combine equal strings (keeping the smallest doc_id) and send the
-   different strings to their buckets. A minimiser of over ``hot_documents`` documents gives a string for each
-   window, and that window is its own bucket: equal windows combine on the map side and the rest spread out.
+   different strings to their buckets. Only where the second minimiser is hot too, a string is one window, and that
+   window is its own bucket: equal windows combine on the map side and the rest spread out.
 3. In a bucket, rank all windows by sorting (prefix doubling over exact word ids) and find the smallest doc_id of each.
 4. Send back, per string, which windows are repeats; a document that has a string but isn't its owner repeats all of it.
+
+What is used twice is written once. A bucket holds ``hot_documents`` strings of ``LONGEST_RUN`` windows at most.
 """
 
 from __future__ import annotations
@@ -25,26 +28,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, as_signed, chunks, mixed, rolled, sliding_min, words_of
+from .shared import materialise
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
 LONGEST_RUN = 256  # windows in one packed string
 BUCKET_BYTES = 2 << 20  # packed bytes that are ranked together, if buckets are smaller
 
 
-def _super_kmers(words: Words, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each super-k-mer. Windows are named by their first word."""
-    least = sliding_min(rolled(words.hashes(), run), window - run + 1)
+def _windows(words: Words, window: int) -> np.ndarray:
+    """The first word of each window."""
     counts = np.maximum(np.diff(words.rows) - window + 1, 0)
-    total = int(counts.sum())
-    if not total:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     begin = np.cumsum(counts) - counts
-    at = np.arange(total) - np.repeat(begin, counts) + np.repeat(words.rows[:-1], counts)
-    value = least[at]
-    new = np.ones(total, bool)
+    return np.arange(counts.sum()) - np.repeat(begin, counts) + np.repeat(words.rows[:-1], counts)
+
+
+def _first_minimisers(hashes: np.ndarray, at: np.ndarray, window: int, run: int) -> np.ndarray:
+    return sliding_min(rolled(hashes, run), window - run + 1)[at]
+
+
+def _second_minimisers(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, window: int, run: int) -> np.ndarray:
+    """Of runs half the window's length or three times the first's, whichever is more; together with the first."""
+    run = max(window // 2, min(3 * run, window))
+    return mixed(first ^ sliding_min(rolled(hashes, run, 2), window - run + 1)[at])
+
+
+def _super_kmers(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and minimiser of each super-k-mer. Windows are named by their first word."""
+    if not len(at):
+        return at, at, value
+    new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, total))
+    size = np.diff(np.append(first, len(at)))
     pieces = -(-size // LONGEST_RUN)
     part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(first, pieces) + part * LONGEST_RUN
@@ -52,18 +67,24 @@ def _super_kmers(words: Words, window: int, run: int) -> tuple[np.ndarray, np.nd
     return at[first], size, value[first]
 
 
-def _minimisers(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[pa.RecordBatch]:
+def _minimisers(batches: Iterator[pa.RecordBatch], window: int, run: int, second: bool) -> Iterator[pa.RecordBatch]:
+    """Different minimisers of each document, with their super-k-mers; second: those of windows whose first one is hot."""
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
-            first, _, value = _super_kmers(words, window, run)
+            hashes, at = words.hashes(), _windows(words, window)
+            value = _first_minimisers(hashes, at, window, run)
+            if second:
+                hot = np.isin(value, as_unsigned(part.column("hot").flatten()))
+                at, value = at[hot], _second_minimisers(hashes, at[hot], value[hot], window, run)
+            first, _, value = _super_kmers(at, value)
             row = np.searchsorted(words.rows, first, "right") - 1
             order = np.lexsort((value, row))
             row, value = row[order], value[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-            row, value = row[new], value[new]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array(as_signed(value))], ["doc_id", "text_hash", "minimiser"])
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))) if len(row) else row
+            n = np.diff(np.append(new, len(row)))
+            row, value = pa.array(row[new]), pa.array(as_signed(value[new]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("text_hash").take(row), value, pa.array(n)], ["doc_id", "text_hash", "minimiser", "n"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[pa.RecordBatch]:
@@ -71,24 +92,22 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
-            first, size, value = _super_kmers(words, window, run)
-            flat = part.column("wanted").flatten()
-            wanted, hot = as_unsigned(flat.field("minimiser")), flat.field("hot").to_numpy(zero_copy_only=False)
-            keep = np.isin(value, wanted)
-            first, size, value = first[keep], size[keep], value[keep]
-            single = np.isin(value, wanted[hot])
-            times = np.where(single, size, 1)
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            first = np.repeat(first, times) + nth
-            size = np.where(np.repeat(single, times), 1, np.repeat(size, times))
-            value, single = np.repeat(value, times), np.repeat(single, times)
+            hashes, at = words.hashes(), _windows(words, window)
+            value = _first_minimisers(hashes, at, window, run)
+            cool, hot, second_cool, second_hot = (as_unsigned(part.column(c).flatten()) for c in ("cool", "hot", "second_cool", "second_hot"))
+            is_cool, is_hot = np.isin(value, cool), np.isin(value, hot)
+            second = _second_minimisers(hashes, at[is_hot], value[is_hot], window, run)
+            singles = at[is_hot][np.isin(second, second_hot)]
+            second_too = np.isin(second, second_cool)
+            found = [_super_kmers(at[is_cool], value[is_cool]), _super_kmers(at[is_hot][second_too], second[second_too]), (singles, np.ones(len(singles), np.int64), np.zeros(len(singles), np.uint64))]
+            first, size, value = (np.concatenate(x) for x in zip(*found, strict=True))
             row = np.searchsorted(words.rows, first, "right") - 1
             data = words.data.tobytes()
             packed = [data[a:b] for a, b in zip(words.at[first].tolist(), words.at[first + size + window - 1].tolist(), strict=True)]
             digest = [xxhash.xxh3_128_digest(x) for x in packed]
-            own = np.fromiter((int.from_bytes(x[:8], "little") for x in digest), np.uint64, len(digest))
-            bucket = np.where(single, mixed(own), value)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array(first - words.rows[row]), pa.array(size), pa.array(as_signed(bucket)), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], names)
+            alone = len(first) - len(singles)
+            value[alone:] = mixed(np.fromiter((int.from_bytes(x[:8], "little") for x in digest[alone:]), np.uint64, len(singles)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array(first - words.rows[row]), pa.array(size), pa.array(as_signed(value)), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], names)
 
 
 def as_unsigned(column: pa.Array) -> np.ndarray:
@@ -176,13 +195,25 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) ->
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(words.rows)), pa.array(np.diff(removed)), pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
 
+def _wanted(docs: DataFrame, window: int, run: int, most: int, second: bool) -> tuple[DataFrame, bool]:
+    """Of each text its minimisers that another document has too: cool and hot ones; and whether any is hot."""
+    found = docs.mapInArrow(partial(_minimisers, window=window, run=run, second=second), "doc_id long, text_hash long, minimiser long, n long")
+    found = materialise(found, "minimisers")
+    shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
+    shared = materialise(shared.select("minimiser", (F.col("n") > most).alias("is_hot")), "shared")
+    one = lambda hot: F.collect_set(F.when(F.col("is_hot") == hot, F.col("minimiser")))
+    wanted = found.join(shared, "minimiser").groupBy("doc_id", "text_hash").agg(one(False).alias("cool"), one(True).alias("hot"))
+    return wanted, not shared.where("is_hot").isEmpty()
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documents: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in ``carry`` (text may be one), n_words, n_removed and kept_text (the kept words, one
     space between) of every row.
 
     A word goes if a window over it also starts in a document of a smaller doc_id; windows are judged on the input.
     Null text: no words, empty kept_text. Null doc_id: the row keeps all and takes nothing from others. Repeated rows
-    of one doc_id are one document: they don't remove each other. Texts under ``window`` words keep all. Columns not
+    of one doc_id are one document: they don't remove each other. A text of
+    any length is held whole by its task. Texts under ``window`` words keep all. Columns not
     in ``carry`` aren't read; the operator's own columns have names of their own inside, so none can clash, unless
     carried under the names of its results. An empty table gives an empty table.
     """
@@ -190,11 +221,15 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 8, hot_documen
     extra = [c for c in carry if c != "text"]
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), *(F.col(c).alias(f"carried_{c}") for c in extra))
     some = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
-    found = some.mapInArrow(partial(_minimisers, window=window, run=run), "doc_id long, text_hash long, minimiser long")
-    shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("minimiser", (F.col("n") > hot_documents).alias("hot"))
-    wanted = found.join(shared, "minimiser").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("minimiser", "hot")).alias("wanted"))
+    wanted, hot = _wanted(some, window, run, hot_documents, second=False)
+    of_hot = wanted.where(F.size("hot") > 0).select("doc_id", "text_hash", "hot")
+    if hot:
+        second, _ = _wanted(docs.join(of_hot, ["doc_id", "text_hash"]), window, run, hot_documents, second=True)
+        wanted = wanted.join(second.toDF("doc_id", "text_hash", "second_cool", "second_hot"), ["doc_id", "text_hash"], "left")
+    else:
+        wanted = wanted.withColumns({c: F.lit(None).cast("array<long>") for c in ("second_cool", "second_hot")})
     schema = "doc_id long, text_hash long, first long, windows long, bucket long, digest binary, packed binary"
-    packed = docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(partial(_pack, window=window, run=run), schema)
+    packed = materialise(docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(partial(_pack, window=window, run=run), schema), "packed")
     strings = packed.groupBy("bucket", "packed").agg(F.min("doc_id").alias("owner"))
     counted = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_count_windows, window=window), "digest binary, owner long, repeats array<struct<lo:long,hi:long>>")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -60,3 +61,21 @@ def test_edges(spark):
     gone = {(r.doc_id, r.n_words): r.n_removed for r in found}
     assert gone[(4, 60)] == 0 and gone[(None, 60)] == 0 and gone[(1, 0)] == 0 and gone[(6, 60)] == 59
     assert substring_dedup(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 20, 4000])
+def test_common_phrases_in_other_contexts(spark, hot):
+    """Phrases shorter and longer than a window, and a passage, each in many documents; some documents repeat inside."""
+    chance = random.Random(hot)
+    words = lambda n: " ".join(f"w{chance.randrange(10**9)}" for _ in range(n))
+    short, half, passage = words(4), words(9), words(30)
+    rows = [(i, " ".join([words(chance.randrange(20)), short, words(9), half, words(12), passage if i % 3 else passage[: chance.randrange(200)], words(5), half])) for i in range(60)]
+    rows += [(100, " ".join([f"{half} {words(3)}" for _ in range(40)])), (101, " ".join([half] * 40)), (102, " ".join([half] * 30))]
+    assert ours(spark, rows, window=12, run=3, hot_documents=hot) == brute(rows, 12)
+
+
+def test_very_long_texts(spark):
+    chance = random.Random(1)
+    long = " ".join(f"w{chance.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, long), (2, "x " + long[1_000_000:]), (3, "y" * 3_000_000), (4, "z " * 400_000), (5, "z " * 100)]
+    assert ours(spark, rows) == brute(rows, 50)
