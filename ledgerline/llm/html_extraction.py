@@ -11,6 +11,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
@@ -33,124 +34,200 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div body aside nav main form".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+RAW = frozenset("script style noscript template svg iframe object textarea select title".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN = re.compile(r"[^'\">]*")
 NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
+DIGIT = re.compile(r"\d")
 WHITE = re.compile(r"[ \t\n\r\f\v   ]+")
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  #: from the outermost: tags, with their class and id words after a space
+    own: str  #: the innermost block-level tag
+    around: frozenset[int]  #: features of all tags around it, with their class and id words
     text: str
     linked: int  #: characters inside links
 
 
+@lru_cache(1 << 16)
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+
+
+class Tags:
+    """A page's tags in order, in time that follows its length whatever the markup."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last_end = page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "'\""}
+        self.careful = False
+        self._dead: set[int] = set()  # places outside quotes from which a tag's end isn't found
+
+    def _end(self, at: int) -> int | None:
+        """The first > from ``at`` on that no quotes hold; where a quote isn't closed, None. No place is tried twice."""
+        tried = []
+        while at not in self._dead:
+            tried.append(at)
+            at = PLAIN.match(self.page, at).end()
+            if at >= len(self.page):
+                break
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            if at >= self.last_quote[quote]:
+                break
+            at = self.page.index(quote, at + 1) + 1
+        self._dead.update(tried)
+        return None
+
+    def tag(self, at: int) -> tuple[int, bool, str, str] | None:
+        """End, whether it closes, name and attributes of the tag at a <; None if it isn't one. A tag with an unclosed
+        quote ends at its first >."""
+        if at > self.last_end:
+            return None
+        if not self.careful:
+            if m := TAG.match(self.page, at):
+                return m.end(), bool(m[1]), m[2].lower(), m[3]
+        m = TAG_NAME.match(self.page, at)
+        if not m:
+            return None
+        self.careful = True
+        end = self._end(m.end())
+        end = self.page.index(">", at) if end is None else end
+        return end + 1, bool(m[1]), m[2].lower(), self.page[m.end() : end]
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """Begin, end, whether it closes, name and attributes; a comment and such have no name. A raw element is one tag
+        up to its end."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                yield at, (end := len(page) if end < 0 else end + 3), False, "", ""
+            elif page[at + 1 : at + 2] in ("!", "?") and at < self.last_end:
+                yield at, (end := page.index(">", at) + 1), False, "", ""
+            elif (found := self.tag(at)) is None:
+                at += 1
+                continue
+            else:
+                end, closes, name, attributes = found
+                if name in RAW and not closes:
+                    m = RAW_END[name].search(page, end)
+                    end, name = (m.end() if m else len(page)), ""
+                yield at, end, closes, name, attributes
+            at = end
+
+
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
+
+
+class _Open:
+    """The open block-level tags. Each knows the features of all around it, whether it is unseen, the inline tags that
+    are open directly in it, and the place of the nearest scope."""
+
+    def __init__(self) -> None:
+        self.tags, self.around, self.unseen, self.scope = [""], [frozenset()], [False], [0]
+        self.inline: list[Counter[str]] = [Counter()]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.links = 0
+
+    def push(self, tag: str, names: str) -> None:
+        more = {_bucket(f"in={tag}")} | {_bucket(f"name={w}") for w in WORDS.findall(names.lower())}
+        around = self.around[-1]
+        self.places[tag].append(len(self.tags))
+        self.scope.append(len(self.tags) if tag in SCOPES else self.scope[-1])
+        self.tags.append(tag)
+        self.around.append(around if more <= around else around | more)
+        self.unseen.append(self.unseen[-1] or tag in UNSEEN)
+        self.inline.append(Counter())
+
+    def pop_to(self, k: int) -> None:
+        while len(self.tags) > k:
+            self.places[self.tags.pop()].pop()
+            self.links -= self.inline.pop()["a"]
+            for held in (self.around, self.unseen, self.scope):
+                held.pop()
+
+    def nearest(self, tags: list[str]) -> int:
+        """The innermost of these tags, if no scope is inside it; else 0."""
+        at = max(self.places[t][-1] if self.places[t] else 0 for t in tags)
+        return at if at > self.scope[-1] else 0
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order. Tags may be unclosed or closed out of order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, tag with names
+    opened = _Open()
     parts: list[str] = []
-    linked = links = 0
-    at = 0
+    linked = at = 0
 
     def close() -> None:
         nonlocal parts, linked
-        if parts:
+        if parts and not opened.unseen[-1]:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), text, linked))
+                out.append(Block(opened.tags[-1], opened.around[-1], text, linked))
         parts, linked = [], 0
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        close()
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) if links else 0
-        at = m.end()
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is None:
-                continue
-            if tag in INLINE:
-                if any(t not in INLINE for t, _ in stack[k:]):
-                    continue
-                links -= sum(t == "a" for t, _ in stack[k : k + 1])
-                del stack[k]
-            else:
-                pop_to(k)
+    for begin, end, closes, tag, attributes in Tags(page):
+        if begin > at:
+            parts.append(page[at:begin])
+            linked += (begin - at) if opened.links else 0
+        at = end
+        if not tag:
             continue
         if tag in INLINE:
-            if tag == "br":
+            own = opened.inline[-1]
+            if closes and own[tag]:
+                own[tag] -= 1
+                opened.links -= tag == "a"
+            elif not closes and tag == "br":
                 parts.append(" ")
-            elif tag not in VOID:
-                stack.append((tag, tag))
-                links += tag == "a"
-            continue
-        close()
-        if tag in VOID:
-            continue
-        if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in SCOPES), None)
-            if k is not None and stack[k][0] == "p":
-                pop_to(k)
-        elif tag in SIBLINGS:
-            same = SIBLINGS[tag].split()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in same or stack[k][0] in SCOPES), None)
-            if k is not None and stack[k][0] in same:
-                pop_to(k)
-        names = " ".join(a or b or c for _, a, b, c in NAMES.findall(m[4])) if m[4] else ""
-        stack.append((tag, f"{tag} {names}".strip()))
+            elif not closes and tag not in VOID:
+                own[tag] += 1
+                opened.links += tag == "a"
+        elif closes:
+            if opened.places[tag]:
+                close()
+                opened.pop_to(opened.places[tag][-1])
+        else:
+            close()
+            if tag in VOID:
+                continue
+            same = ["p"] if tag in CLOSES_P else SIBLINGS[tag].split() if tag in SIBLINGS else []
+            if same and (k := opened.nearest(same)):
+                opened.pop_to(k)
+            opened.push(tag, " ".join(a or b or c for _, a, b, c in NAMES.findall(attributes)) if attributes else "")
     rest = page[at:]
     cut = re.search(r"<(?=[a-zA-Z/!])[^<>]*\Z", rest)  # a tag that the page's end cuts off
     if rest := rest[: cut.start()] if cut else rest:
         parts.append(rest)
-        linked += len(rest) if links else 0
+        linked += len(rest) if opened.links else 0
     close()
-    return [b for b in out if not any(t.split(" ", 1)[0] in UNSEEN for t in b.path)]
-
-
-@lru_cache(1 << 16)
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+    return out
 
 
 @lru_cache(1 << 14)
-def _path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    found = {"bias", f"own={path[-1].split(' ', 1)[0] if path else ''}"}
-    for step in path:
-        tag, _, names = step.partition(" ")
-        found.add(f"in={tag}")
-        found |= {f"name={w}" for w in WORDS.findall(names.lower())}
-    return tuple(sorted({_bucket(f) for f in found}))
+def _around_features(own: str, around: frozenset[int]) -> tuple[int, ...]:
+    return tuple(sorted({_bucket("bias"), _bucket(f"own={own}")} | around))
 
 
 def _text_features(block: Block) -> tuple[int, ...]:
     text, size = block.text, len(block.text)
     stops = text.count(".") + text.count("!") + text.count("?")
     found = (
-        f"size={min(size, 2000).bit_length()}", f"stops={min(stops, 4)}", f"linked={min(4, 4 * block.linked // max(1, size))}",
-        f"ends={text[-1] in '.!?…\"'}", f"copy={chr(169) in text or '©' in text}", f"commas={min(text.count(','), 3)}", f"digits={any(c.isdigit() for c in text[:40])}",
+        f"size={size.bit_length()}", f"stops={min(stops, 4)}", f"linked={min(4, 4 * block.linked // max(1, size))}",
+        f"ends={text[-1] in '.!?…\"'}", f"copy={chr(169) in text}", f"commas={min(text.count(','), 3)}", f"digits={DIGIT.search(text) is not None}",
     )
     return tuple({_bucket(f) for f in found})
 
 
 def features(blocks: list[Block]) -> list[tuple[int, ...]]:
-    return [_path_features(b.path) + _text_features(b) for b in blocks]
+    return [_around_features(b.own, b.around) + _text_features(b) for b in blocks]
 
 
 @dataclass
@@ -354,7 +431,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text's blocks, one line each) and n_chars (code points) of every row.
 
     White space inside a block becomes one space and is trimmed at its ends; character references are decoded; a
-    ``br`` is white space. Null or empty html, and pages without text blocks, have an empty text. Nothing is capped.
+    ``br`` is white space. Null or empty html, and pages without text blocks, have an empty text. Nothing is capped; time
+    follows a page's length, however broken its markup. An unclosed tag without any > after it is text, up to the last
+    one of a page, which the page's end cuts off; a tag with an unclosed quote ends at its first >. No pages, no rows.
     Rows are judged alone: repeated rows repeat, null ids and urls stay null; other columns aren't carried.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
