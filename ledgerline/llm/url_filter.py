@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +19,46 @@ BITS = 15
 GRAMS = (3, 4, 5)
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-# The words of which the labelled table's hosts and paths are made.
-BLOCKED_WORDS = ("ads", "track", "casino", "win", "cheap", "pills", "free", "bets", "spam", "farm", "loan", "prize", "adult", "clicks", "popup", "seo", "replica", "miracle", "jackpot", "dating")
-PLAIN_WORDS = ("city", "library", "garden", "school", "river", "music", "open", "docs", "daily", "report", "travel", "history", "science", "forum", "kitchen", "weather", "museum", "sports", "health", "archive")
-SYLLABLES = ("ther", "ing", "tion", "th", "ble", "ha", "en", "er", "st", "on", "nt", "wh", "ou", "es", "ly", "re", "at", "ti", "ea", "sh")
-PREFIXES = ("", "www.", "m.", "blog.")
-LANGUAGES = ("en", "de", "fr", "es")
-
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """The labelled table: host, path and 1 for block. Blocked hosts join two blocked words by a hyphen or none;
-    others join plain words in the same ways, or syllables. Prefixes, endings, languages and numbers tell nothing."""
+# The words of which the labelled table's hosts are made; common vocabulary of unwanted and of plain sites.
+BLOCKED_WORDS = (
+    "casino", "poker", "betting", "jackpot", "lottery", "bonus", "loan", "payday", "replica", "slimming", "detox", "dating", "adult", "webcam", "torrent", "keygen",
+    "popup", "clicks", "backlinks", "tracker", "miner", "prize", "giveaway", "coupon", "cash", "profit", "forex", "miracle", "xxx", "warez", "banners", "leads",
+)
+PLAIN_WORDS = (
+    "city", "library", "garden", "school", "river", "music", "open", "docs", "daily", "report", "travel", "history", "science", "forum", "kitchen", "weather",
+    "museum", "sports", "health", "archive", "council", "theatre", "village", "recipes", "letters", "botany", "railway", "poetry", "harbour", "research", "maths", "craft",
+)
+PREFIXES = ("", "", "www.", "m.", "blog.", "news.")
+ENDINGS = (".com", ".org", ".net", ".info", ".co.uk", ".de", ".example.com", ".example.org")
+
+
+def labelled_urls(n: int = 1600, seed: int = 13) -> list[tuple[str, str, int]]:
+    """The labelled table: host, path and 1 for block, made by a rule. Blocked hosts join words of unwanted sites, three
+    of four by a hyphen, some with digits. Others are one plain word, two (one of six pairs by a hyphen), or an
+    invented name of some syllables. Prefixes, endings and paths tell nothing."""
+    rng = random.Random(seed)
     out = []
-    blocked, plain = list(product(BLOCKED_WORDS, repeat=2)), list(product(PLAIN_WORDS, repeat=2))
-    syllables = list(product(SYLLABLES, repeat=2))
-    for label, pairs, joints in ((1, blocked, ("-", "")), (0, plain, ("-", "")), (0, syllables, ("",))):
-        for k, (a, b) in enumerate(pairs):
-            host = f"{PREFIXES[k % 4]}{a}{joints[k % len(joints)]}{b}.example.{('com', 'org', 'net')[k % 3]}"
-            end = ("", "/", ".html")[k // 3 % 3]
-            out.append((host, f"/{LANGUAGES[k // 2 % 4]}/{k * 37 % 1000}{end}", label))
+    for k in range(n):
+        if k % 2:
+            a, b = rng.sample(BLOCKED_WORDS, 2)
+            name = a + ("-" if rng.random() < 0.75 else "") + b
+            name += str(rng.randrange(1, 1000)) if rng.random() < 0.2 else ""
+        else:
+            kind = rng.random()
+            a, b = rng.sample(PLAIN_WORDS, 2)
+            invented = "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice(("a", "e", "i", "o", "u", "ar", "en", "is", "ou")) for _ in range(rng.randint(2, 4)))
+            name = a if kind < 0.2 else a + ("-" if rng.random() < 1 / 6 else "") + b if kind < 0.6 else invented
+        path = "/" + "/".join(rng.choice(("en", "de", "fr", "es", "index", "page", "news", str(rng.randrange(1000)))) for _ in range(rng.randint(0, 3))) + rng.choice(("", "/", ".html"))
+        out.append((rng.choice(PREFIXES) + name + rng.choice(ENDINGS), path, k % 2))
     return out
 
 
+def shapes(texts: pa.Array) -> pa.Array:
+    """a for a run of letters (and any character beyond ASCII), 0 for one of digits, other characters as they are; the
+    n-grams of shapes carry over to words that the table doesn't hold."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[a-zA-Z]+|[^\x00-\x7F]+", "a"), r"[0-9]+", "0")
+
+
 def _grams(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every n-gram of bytes; the texts' ends count as characters."""
     data, rows = flat_bytes(texts)
@@ -61,9 +80,9 @@ def _grams(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def url_features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    row_h, host = _grams(hosts, 1)
-    row_p, path = _grams(paths, 2)
-    return np.concatenate([row_h, row_p]), np.concatenate([host, path + (1 << BITS)])
+    """Row and feature of the n-grams of hosts, paths and the hosts' shapes, each with features of its own."""
+    found = [_grams(texts, seed) for seed, texts in ((1, hosts), (2, paths), (3, shapes(hosts)))]
+    return np.concatenate([row for row, _ in found]), np.concatenate([gram + (k << BITS) for k, (_, gram) in enumerate(found)])
 
 
 @dataclass
@@ -83,7 +102,7 @@ def fit(urls: list[tuple[str, str, int]], steps: int = 300, rate: float = 0.5, p
     row, feature = url_features(pa.array(hosts), pa.array(paths))
     y = np.array(label, float)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, bias, seen, seen_bias = np.zeros(2 << BITS), 0.0, np.full(2 << BITS, 1e-8), 1e-8
+    w, bias, seen, seen_bias = np.zeros(3 << BITS), 0.0, np.full(3 << BITS, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(row, w[feature], minlength=len(y)) + bias)))
         error = (p - y) * weight
