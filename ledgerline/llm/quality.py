@@ -27,14 +27,13 @@ HELD_OUT = 2
 
 
 KINDS = re.compile(r"(?P<letters>[^\W\d_A-Z]+)|(?P<capitals>[A-Z]+)|(?P<digits>\d+)|(?P<mark>.)", re.DOTALL)
-LONGEST_SHAPE = 12
 
 
 def _shape(word: str) -> str:
-    """a lower-case letters, A capitals, 0 digits, others as they are; runs once, the first LONGEST_SHAPE of them."""
+    """a lower-case letters, A capitals, 0 digits, others as they are; runs once."""
     signs = {"letters": "a", "capitals": "A", "digits": "0"}
     out = [("A" if m[0].isupper() else signs[m.lastgroup]) if m.lastgroup in signs else m[0] for m in KINDS.finditer(word)]
-    return "".join(c for i, c in enumerate(out) if not i or out[i - 1] != c)[:LONGEST_SHAPE]
+    return "".join(c for i, c in enumerate(out) if not i or out[i - 1] != c)
 
 
 def _shapes(words: pa.Array) -> pa.Array:
@@ -140,7 +139,8 @@ def calibration(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(rows: list[np.ndarray], label: np.ndarray, smooth: float = 1.0, cost: float = 0.1, rounds: int = 30, least: int = 3, folds: int = 4, seed: int = 5) -> QualityModel:
     """rows: each text's features. Features of fewer than ``least`` texts have no weight. The curve is fitted on
-    margins from models that didn't see the text. One class only, or no rows: a constant score, that of the class (0.5)."""
+    margins from models that didn't see the text. Fewer than ``folds`` rows of either class, none included, are too few
+    for that: a constant score, above 0.5 where label 1 is the more frequent, below where 0 is, 0.5 where neither is."""
     y = np.where(label == 1, 1.0, -1.0)
     width = 1 << BITS
     if (y > 0).sum() < folds or (y < 0).sum() < folds:
@@ -200,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
 def classify(docs: DataFrame, model: QualityModel, threshold: float = 0.7, *columns: str) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of every row, after the named other columns.
 
-    Scores come from the text alone; null is empty, and empty texts have a score. Rows are judged alone: repeated
+    Scores come from the whole text alone; null is empty, and empty texts have a score. A model that had fewer than four
+    labelled rows of either class (see ``fit``) gives all texts one score. Rows are judged alone: repeated
     rows repeat; a null doc_id stays null and isn't held out. An empty table gives an empty table.
     """
     names = ["doc_id", *columns]
