@@ -11,6 +11,7 @@ the largest norm, and a query has 0 there: the trees work in that space, the rer
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_ROWS = 20_000  # expected vectors of a leaf that meet its queries at once; larger leaves are split by a salt
-TIE = 1e-9
-CELL_NAMES = ["tree", "leaf", "salt", "candidate", "vec_id", "embedding"]
-HELD_QUERIES = 20_000  # whose best a task holds before it hands them on
+ROUNDING = 4 * np.finfo(np.float64).eps  # of a product's terms, relative: what a block's products may be off
+CELL_NAMES = ["tree", "leaf", "salt", "part", "candidate", "vec_id", "embedding"]
+HELD_QUERIES = 20_000  # whose best a task holds before it hands them on; expected queries of a cell, too
 
 
 @dataclass
@@ -102,26 +103,30 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _leaves_of_rows(batches: Iterator[pa.RecordBatch], forest: list[Tree], most: float, salts: int) -> Iterator[pa.RecordBatch]:
+def _leaves_of_rows(batches: Iterator[pa.RecordBatch], forest: list[Tree], scale: float, most: float, salts: int, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = vectors_of(batch.column("embedding"))
+        x = vectors_of(batch.column("embedding")) / scale
         augmented = np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))])
+        n = len(x)
+        salt, yes = pa.array(batch.column("vec_id").to_numpy() % salts), pa.array(np.ones(n, bool))
         for k, tree in enumerate(forest):
-            leaf = tree.route(augmented)
-            n = len(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(leaf), pa.array(batch.column("vec_id").to_numpy() % salts), pa.array(np.ones(n, bool)), batch.column("vec_id"), batch.column("embedding")], CELL_NAMES)
+            leaf = pa.array(tree.route(augmented))
+            for part in range(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), leaf, salt, pa.array(np.full(n, part)), yes, batch.column("vec_id"), batch.column("embedding")], CELL_NAMES)
 
 
-def _leaves_of_queries(batches: Iterator[pa.RecordBatch], forest: list[Tree], leaves: int, salts: int) -> Iterator[pa.RecordBatch]:
+def _leaves_of_queries(batches: Iterator[pa.RecordBatch], forest: list[Tree], leaves: int, scale: float, salts: int, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = vectors_of(batch.column("embedding")) if batch.num_rows else ()
+        x = vectors_of(batch.column("embedding")) / scale if batch.num_rows else ()
+        ids = batch.column("vec_id").to_pylist()
         for i in range(batch.num_rows):
             cells = search(forest, np.append(x[i], 0.0), leaves)
             tree, leaf, salt = zip(*((t, f, s) for t, f in cells for s in range(salts)), strict=True)
-            at = pa.array(np.full(len(tree), i))
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int64()), pa.array(leaf, pa.int64()), pa.array(salt, pa.int64()), pa.array(np.zeros(len(tree), bool)), batch.column("vec_id").take(at), batch.column("embedding").take(at)], CELL_NAMES)
+            at, n = pa.array(np.full(len(tree), i)), len(tree)
+            part = zlib.crc32(str(ids[i]).encode()) % parts
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int64()), pa.array(leaf, pa.int64()), pa.array(salt, pa.int64()), pa.array(np.full(n, part)), pa.array(np.zeros(n, bool)), batch.column("vec_id").take(at), batch.column("embedding").take(at)], CELL_NAMES)
 
 
 class _Best:
@@ -134,7 +139,8 @@ class _Best:
     def add(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         scores = queries @ vectors.T
         k = min(self.top + 1, len(ids))  # one may be the query itself
-        floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - TIE
+        off = ROUNDING * queries.shape[1] * np.sqrt((queries**2).sum(1)) * np.sqrt((vectors**2).sum(1).max())
+        floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - 2 * off
         for i, q in enumerate(query_ids.tolist()):
             near = np.flatnonzero(scores[i] >= floor[i])
             exact = (vectors[near] * queries[i]).sum(1)  # the same for equal vectors, wherever they stand
@@ -162,14 +168,14 @@ def _meet(batches: Iterator[pa.RecordBatch], top: int, block: int = 4096) -> Ite
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL_NAMES[:4]])
+        key = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL_NAMES[:5]])
         edges = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(key))
         ids, x = batch.column("vec_id").to_numpy(), vectors_of(batch.column("embedding"))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            here = tuple(key[a, :3].tolist())
+            here = tuple(key[a, :4].tolist())
             if here != cell:
                 cell, query_ids, queries = here, [], []
-            if not key[a, 3]:
+            if not key[a, 4]:
                 query_ids.append(ids[a:b])
                 queries.append(x[a:b])
             elif query_ids:
@@ -188,38 +194,50 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 10, leaf_share: float = 0.008, leaves: int = 150, sample: int = 20_000, seed: int = 11) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, top: int = 20, trees: int = 10, leaf_share: float = 0.008, leaves: int = 150, sample: int = 20_000, seed: int = 11, leaf_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (inner product, double precision) of each query's ``top`` nearest
     found among all other rows, nearest first, ties to the smaller vec_id. Fewer rows give fewer neighbours.
 
-    Null, zero and not finite vectors, and null vec_ids, take no part; repeated rows of one vec_id are one. Vectors
-    are of one length. The trees are fitted on at most ``sample`` rows (the smallest hashes of vec_id), whose number
-    bounds what the driver holds; all rows are indexed. Of equal vectors only the ``top`` + 1 smallest vec_ids can be
-    among a query's nearest, so the others leave before the index: a group of copies of any size is that many rows.
-
-    A leaf holds ``leaf_share`` of the rows, so that ``leaves`` reach the same part of the table at every size. The
-    defaults give a recall of 0.98 on vectors without any structure in 64 dimensions, where over half of all rows have
-    to be looked at; vectors that cluster need far fewer leaves.
+    Null, zero and not finite vectors, and null vec_ids, take no part, nor do vectors of another length than most have
+    (of the shorter where two are as frequent); repeated rows of one vec_id are one. The trees see vectors divided by the
+    largest component, so that no square leaves the range of doubles; a query whose products leave it may find fewer. The
+    trees are fitted on at most ``sample`` rows (the smallest hashes of vec_id), whose number bounds what the driver
+    holds; all rows are indexed. Of equal vectors only the ``top`` + 1 smallest vec_ids can be among a query's
+    nearest, so the others leave before the index: a group of copies of any size is that many rows.
+
+    A leaf holds ``leaf_share`` of the rows, so that ``leaves`` reach the same part of the table at every size; with
+    ``leaf_rows`` a leaf holds about that many instead, and work no longer grows with the square of the table, nor does
+    recall stay the same. The defaults give a recall of 0.98 on vectors without any structure in 64 dimensions, where
+    over half of all rows have to be looked at; vectors that cluster need far fewer leaves. A leaf of many vectors is
+    split by a salt, one of many queries by parts, so that a cell holds a bounded number of queries.
     """
     spark = rows.sparkSession
-    schema = "tree long, leaf long, salt long, candidate boolean, vec_id long, embedding array<double>"
+    schema = "tree long, leaf long, salt long, part long, candidate boolean, vec_id long, embedding array<double>"
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    lengths = rows.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"), F.max(largest).alias("scale"), F.count_if(is_query).alias("asked"))
+    common = lengths.orderBy(F.desc("n"), "length").first()
+    if common is None:
+        return none
+    rows = rows.where(F.size("embedding") == common.length)
     queries = rows.where(is_query).dropDuplicates(["vec_id"])
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = rows.withColumn("nth", F.dense_rank().over(copies)).where(F.col("nth") <= top + 1).drop("nth")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
-    n, most = rows.agg(F.count("*"), F.max(norm)).first()
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + (v / common.scale) * (v / common.scale))
+    most = rows.agg(F.max(norm)).first()[0]
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().combine_chunks()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.unique(vectors_of(picked.column("embedding").combine_chunks()), axis=0)
+    x = np.unique(vectors_of(picked.column("embedding").combine_chunks()) / common.scale, axis=0)
     x = np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))])
     rng = np.random.default_rng(seed)
-    forest = [grow(x, max(2, int(leaf_share * len(x))), rng) for _ in range(trees)]
-    salts = max(1, -(-int(n * leaf_share) // CELL_ROWS))
-    cells = indexed.mapInArrow(partial(_leaves_of_rows, forest=forest, most=float(most), salts=salts), schema)
-    asked = queries.mapInArrow(partial(_leaves_of_queries, forest=forest, leaves=leaves, salts=salts), schema)
-    key = ["tree", "leaf", "salt"]
+    share = leaf_share if leaf_rows is None else min(1.0, leaf_rows / common.n)
+    forest = [grow(x, max(2, int(share * len(x))), rng) for _ in range(trees)]
+    salts = max(1, -(-int(common.n * share) // CELL_ROWS))
+    parts = max(1, -(-common.asked * leaves // (HELD_QUERIES * sum(len(t.normal) + 1 for t in forest))))
+    options = {"forest": forest, "scale": common.scale, "salts": salts, "parts": parts}
+    cells = indexed.mapInArrow(partial(_leaves_of_rows, most=float(most), **options), schema)
+    asked = queries.mapInArrow(partial(_leaves_of_queries, leaves=leaves, **options), schema)
+    key = ["tree", "leaf", "salt", "part"]
     met = cells.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "candidate")
     found = met.mapInArrow(partial(_meet, top=top), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
