@@ -316,7 +316,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int
     parts = parts.unionByName(parts.select(F.col("root").alias("id"), "root").distinct())
     parts = materialise(parts.join(parts.groupBy("root").agg(F.count("*").alias("members")), "root"), "parts")
     members = materialise(parts.withColumnRenamed("id", "rep").join(sets.select("rep", "n_copies", "first"), "rep"), "members")
-    texts = own.join(members.select("rep", "first.*"), ["doc_id", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
+    # merged at every size, so that what moves stays in proportion to the input
+    texts = own.join(members.select("rep", "first.*").hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text")
     grams = texts.mapInArrow(partial(_gram_sets, n=n), "rep long, grams binary")
     blocks = F.when(F.col("members") > most, F.ceil(F.col("members") * 2 / most)).otherwise(1)
     cells = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))

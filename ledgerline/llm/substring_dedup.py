@@ -4,9 +4,9 @@ A window is ``window`` consecutive words of one document. Its minimiser is the l
 words inside it. Consecutive windows with the same minimiser travel as one packed string to the minimiser's bucket;
 equal windows have equal minimisers and so meet there, where sorting counts them exactly.
 
-1. Count the super-k-mers and documents of each minimiser (map-side combined). A bucket of one document has nothing
-   to remove and is left out before any text moves. Where a minimiser has over ``hot_documents`` super-k-mers, its
-   windows are divided by a second minimiser, of longer runs, and these are counted in the same way.
+1. Count the different super-k-mers and the documents of each minimiser (map-side combined). A bucket of one document
+   has nothing to remove and is left out before any text moves. Where a minimiser has over ``hot_documents``
+   different super-k-mers, its windows are divided by a second minimiser, of longer runs, counted in the same way.
 2. Pack the windows of the other buckets, combine equal strings (keeping the smallest doc_id) and send the
    different strings to their buckets. Only where the second minimiser is hot too, a string is one window, and that
    window is its own bucket: equal windows combine on the map side and the rest spread out.
@@ -68,7 +68,8 @@ def _super_kmers(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _minimisers(batches: Iterator[pa.RecordBatch], window: int, run: int, second: bool) -> Iterator[pa.RecordBatch]:
-    """Different minimisers of each document, with their super-k-mers; second: those of windows whose first one is hot."""
+    """Different super-k-mers of each document, by minimiser and a hash of their words; second: those of windows whose
+    first minimiser is hot."""
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
@@ -77,14 +78,16 @@ def _minimisers(batches: Iterator[pa.RecordBatch], window: int, run: int, second
             if second:
                 hot = np.isin(value, as_unsigned(part.column("hot").flatten()))
                 at, value = at[hot], _second_minimisers(hashes, at[hot], value[hot], window, run)
-            first, _, value = _super_kmers(at, value)
+            first, size, value = _super_kmers(at, value)
+            sums = np.append(np.uint64(0), np.cumsum(rolled(hashes, 2, 3)))  # of pairs of words, up to each
+            words_hash = sums[first + size + window - 2] - sums[first] if len(first) else value
             row = np.searchsorted(words.rows, first, "right") - 1
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))) if len(row) else row
-            n = np.diff(np.append(new, len(row)))
-            row, value = pa.array(row[new]), pa.array(as_signed(value[new]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("text_hash").take(row), value, pa.array(n)], ["doc_id", "text_hash", "minimiser", "n"])
+            order = np.lexsort((words_hash, value, row))
+            row, value, words_hash = row[order], value[order], words_hash[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (words_hash[1:] != words_hash[:-1])
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(as_signed(value[new])), pa.array(as_signed(words_hash[new]))], ["doc_id", "text_hash", "minimiser", "words_hash"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[pa.RecordBatch]:
@@ -197,9 +200,10 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) ->
 
 def _wanted(docs: DataFrame, window: int, run: int, most: int, second: bool) -> tuple[DataFrame, bool]:
     """Of each text its minimisers that another document has too: cool and hot ones; and whether any is hot."""
-    found = docs.mapInArrow(partial(_minimisers, window=window, run=run, second=second), "doc_id long, text_hash long, minimiser long, n long")
+    found = docs.mapInArrow(partial(_minimisers, window=window, run=run, second=second), "doc_id long, text_hash long, minimiser long, words_hash long")
     found = materialise(found, "minimisers")
-    shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
+    different = found.groupBy("minimiser", "words_hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    shared = different.groupBy("minimiser").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = materialise(shared.select("minimiser", (F.col("n") > most).alias("is_hot")), "shared")
     one = lambda hot: F.collect_set(F.when(F.col("is_hot") == hot, F.col("minimiser")))
     wanted = found.join(shared, "minimiser").groupBy("doc_id", "text_hash").agg(one(False).alias("cool"), one(True).alias("hot"))
