@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .planner import deadline_passed
@@ -26,11 +26,11 @@ def sector_pills(watchlist: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def period_completion(periods: DataFrame, watchlist: DataFrame, usable: DataFrame, as_of: date) -> DataFrame:
-    """Per period: done, total, pct and status. total is one row, and so is broadcast."""
+    """Per period: done, total, pct and status. total is one row."""
     total = watchlist.agg(F.count("*").alias("total"))
     known = usable.join(watchlist.select("ticker"), "ticker", "left_semi").select("ticker", "period_label").distinct()
     done = known.groupBy("period_label").agg(F.count("*").alias("done"))
-    out = periods.join(done, "period_label", "left").withColumn("done", F.coalesce("done", F.lit(0))).join(F.broadcast(total))
+    out = periods.join(done, "period_label", "left").withColumn("done", F.coalesce("done", F.lit(0))).crossJoin(total)
     status = F.when(~deadline_passed(F.col("filing_deadline"), as_of), "대기").when(F.col("done") == F.col("total"), "완성").when(F.col("done") == 0, "진행X").otherwise("진행중")
     return out.select("period_ord", "period_label", "done", "total", (F.col("done") * 100 / F.nullif("total", F.lit(0))).alias("pct"), status.alias("status"))
 
@@ -44,8 +44,9 @@ def dashboard(watchlist: DataFrame, reports: DataFrame, market: DataFrame, forei
     """The watchlist with each ticker's reports, market and holdings, any of which may be missing; cap_bar is its
     market cap in percent of the largest."""
     out = watchlist.join(company_latest(reports), "ticker", "left").join(market, "ticker", "left").join(foreign, "ticker", "left")
-    most = F.max("market_cap").over(Window.partitionBy())
-    return out.withColumn("reports", F.coalesce("reports", F.lit(0))).withColumn("cap_bar", F.least(F.col("market_cap") / F.nullif(most, F.lit(0.0)) * 100, F.lit(100.0)))
+    out = out.crossJoin(market.join(watchlist.select("ticker"), "ticker", "left_semi").agg(F.max("market_cap").alias("most")))  # one row
+    bar = F.least(F.col("market_cap") / F.nullif(F.col("most"), F.lit(0.0)) * 100, F.lit(100.0))
+    return out.withColumn("reports", F.coalesce("reports", F.lit(0))).withColumn("cap_bar", bar).drop("most")
 
 
 def flow_display(eok: Column) -> Column:

@@ -20,7 +20,7 @@ def deadline_passed(deadline: Column, as_of: date) -> Column:
 def open_work(periods: DataFrame, watchlist: DataFrame, usable: DataFrame, skipped: DataFrame, as_of: date) -> DataFrame:
     """Periods whose deadline has passed by tickers, without those that have a usable report or were skipped. periods is a table of literal rows, so each task pairs its tickers with all."""
     due = periods.where(deadline_passed(F.col("filing_deadline"), as_of)).select(F.collect_list(F.struct("period_ord", "period_label")).alias("due"))
-    listed = watchlist.select("ord", "ticker").join(F.broadcast(due)).select("ord", "ticker", F.inline("due"))
+    listed = watchlist.select("ord", "ticker").crossJoin(due).select("ord", "ticker", F.inline("due"))
     return listed.join(usable, ["ticker", "period_label"], "left_anti").join(skipped, ["ticker", "period_label"], "left_anti")
 
 

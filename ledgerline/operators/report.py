@@ -47,19 +47,19 @@ def markdown_table(df: DataFrame, columns: Sequence[str], order: Sequence[Column
 def daily_note(day: str, hits: DataFrame, counts: DataFrame, top: DataFrame) -> DataFrame:
     """One row: the day's note, with hits by kind, the top tickers and the hits of each."""
     summary = counts.agg(joined(F.concat_ws(" ", "trigger_type", F.col("n").cast("string")), [F.col("display_ord")], ", ").alias("summary"))
-    lines = hits.join(F.broadcast(top.select("ticker", "total_score")), "ticker").groupBy("ticker", "total_score").agg(
+    lines = hits.join(top.select("ticker", "total_score"), "ticker").groupBy("ticker", "total_score").agg(
         joined(F.concat(F.lit("- "), "trigger_type", F.lit(" "), F.format_string("%.2f", "severity")), [F.col("rank")]).alias("body"), F.min("rank").alias("first"),
     )
     card = F.concat(F.lit("### "), F.col("ticker").cast("string"), F.lit("\n"), "body")
     cards = lines.agg(joined(card, [-F.col("total_score"), F.col("first")], "\n\n").alias("cards"))
-    return summary.join(cards).select(F.concat(F.lit(f"# {day}\n\n> **트리거**: "), "summary", F.lit("\n\n"), "cards").alias("note"))
+    return summary.crossJoin(cards).select(F.concat(F.lit(f"# {day}\n\n> **트리거**: "), "summary", F.lit("\n\n"), "cards").alias("note"))
 
 
 def trigger_report(day: str, hits: DataFrame, top: DataFrame) -> DataFrame:
     """One row: the day's report as JSON. Hits and top tickers are of report size."""
     rows = hits.agg(F.array_sort(F.collect_list(F.struct("rank", "ticker", "trigger_type", "severity", "score"))).alias("hits"), F.countDistinct("ticker").alias("tickers"))
     best = top.agg(F.collect_list(F.struct("ticker", "total_score")).alias("top"))
-    return rows.join(best).select(F.to_json(F.struct(F.lit(day).alias("fetch_date"), (F.size("hits") > 0).alias("should_publish"), "tickers", "top", "hits")).alias("report"))
+    return rows.crossJoin(best).select(F.to_json(F.struct(F.lit(day).alias("fetch_date"), (F.size("hits") > 0).alias("should_publish"), "tickers", "top", "hits")).alias("report"))
 
 
 def provenance(*stamps: Column) -> Column:

@@ -113,10 +113,10 @@ def consistency(doc_lines: DataFrame, authority: DataFrame, key: str = "doc_id")
 
     The first amount that begins within 60 characters from each place of a keyword counts; one of them within the
     tolerance clears the line, else the closest is reported: key, line_no, fact_key, expected, found, deviation_pct.
-    Facts are a short list and are broadcast.
+    Facts are a short list, which adaptive execution broadcasts.
     """
     facts = authority.select(F.col("key").alias("fact_key"), F.col("value_krw").alias("expected"), "tolerance_pct", F.posexplode("keywords").alias("word_ord", "word"))
-    held = doc_lines.where(F.col("line").rlike("조|억")).join(F.broadcast(facts), F.contains(F.col("line"), F.col("word")))
+    held = doc_lines.where(F.col("line").rlike("조|억")).join(facts, F.contains(F.col("line"), F.col("word")))
     place = F.concat(F.lit("(?s)(?=(\\Q"), F.col("word"), F.lit("\\E.*))"))
     places = held.withColumn("ahead", F.explode(F.regexp_extract_all("line", place, F.lit(1))))
     number, unit = F.regexp_extract("ahead", AMOUNT_AHEAD, 2), F.regexp_extract("ahead", AMOUNT_AHEAD, 3)
@@ -135,17 +135,19 @@ def unknown_and_asserted(docs: DataFrame, words: Sequence[str] = rules.CROSS_CHE
     Places marked as inference count as neither, and an unconfirmed one about the future doesn't count.
     """
     text = F.col("text")
-    each = docs.where("text is not null").select(key, "text", F.explode(_array_of(words)).alias("word"))
+    each = docs.where("text is not null").select(key, "text", F.explode(_array_of(words)).alias("word")).where(F.contains(F.lower(text), F.lower("word")))
     parts = F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower("word"), F.lit("\\E")), -1)
     each = each.withColumn("parts", parts).where(F.size("parts") > 1)
     size = F.char_length("word")
     ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda s, p: s + F.char_length(p)) + (i - 1) * size)
-    at = each.select(key, "text", "word", F.explode(ends).alias("at"))  # characters before the keyword
-    before, after = F.left(text, F.col("at")), F.substr(text, F.col("at") + 1)
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1))
-    low = F.greatest(F.col("at") - near, F.lit(0))
-    window = F.substr(text, low + 1, F.col("at") + near - low)
-    at = at.withColumn("line", line).withColumn("window", window)
+
+    def place(at: Column) -> Column:  # at: characters before the keyword
+        line = F.concat(F.substring_index(F.left(text, at), "\n", -1), F.substring_index(F.substr(text, at + 1), "\n", 1))
+        low = F.greatest(at - near, F.lit(0))
+        return F.struct(line.alias("line"), F.substr(text, low + 1, at + near - low).alias("window"))
+
+    # the places alone go on; the text isn't repeated for each
+    at = each.select(key, "word", F.explode(F.transform(ends, place)).alias("place")).select(key, "word", "place.*")
     marked, unconfirmed = F.contains("line", F.lit(rules.INFERENCE)), F.col("line").rlike(rules.NOT_CONFIRMED)
     asserted = F.col("line").rlike(rules.ANY_AMOUNT) | (F.col("window").rlike(rules.ANY_AMOUNT) & ~F.col("window").rlike(rules.NOT_CONFIRMED))
     kind = (
@@ -172,7 +174,8 @@ def secrets(doc_lines: DataFrame, patterns: Sequence[tuple[str, str]] = rules.SE
         return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda _, i: F.struct(F.lit(label).alias("label"), i.alias("nth")))
 
     hits = F.flatten(F.array(*(matches(label, p) for label, p in patterns)))
-    found = doc_lines.where(~placeholder).select(key, "line_no", F.left(trimmed(F.col("line")), F.lit(120)).alias("snippet"), F.explode(hits).alias("hit"))
+    held = doc_lines.where(F.col("line").rlike("|".join(f"(?:{p})" for _, p in patterns)) & ~placeholder)  # most lines hold none
+    found = held.select(key, "line_no", F.left(trimmed(F.col("line")), F.lit(120)).alias("snippet"), F.explode(hits).alias("hit"))
     return found.select(key, "line_no", "hit.label", "hit.nth", "snippet")
 
 
@@ -192,10 +195,10 @@ def chosen_attempt(attempts: DataFrame, key: str = "section") -> DataFrame:
 
 def sections_of(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", window: int = 12000) -> DataFrame:
     """Each text's sections by the first of their aliases that it holds: key, section_key, alias, body. Aliases are a
-    short list and are broadcast."""
+    short list, which adaptive execution broadcasts."""
     from ..functions.text import section_slice
 
-    held = texts.join(F.broadcast(aliases), F.contains(F.col("text"), F.col("alias")))
+    held = texts.join(aliases, F.contains(F.col("text"), F.col("alias")))
     first = Window.partitionBy(key, "section_key").orderBy("alias_ord")
     out = held.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return out.select(key, "section_key", "alias", section_slice(F.col("text"), F.col("alias"), window).alias("body"))

@@ -111,17 +111,22 @@ def trend_classes(spark, sf_dir):
     return series.one_row_change(bars(spark, sf_dir)).select("ticker", "dt", series.trend(F.col("pct_change")).alias("trend"))
 
 
-@query("""SELECT * FROM (VALUES ('2025-annual', '2025년 연간'), ('2026-Q1', '2026년 1분기'), ('2026-H1', '2026년 상반기'), ('2026-q1', '2026-q1'), ('x', 'x')) AS v(label, friendly)""")
+@query("""WITH p AS (SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS VARCHAR) AS y, o_orderkey % 6 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN y || '년 연간' WHEN 1 THEN y || '년 상반기' WHEN 2 THEN y || '년 1분기' WHEN 3 THEN y || '년 3분기' WHEN 4 THEN y || '-q1' ELSE 'x' || y END AS friendly FROM p""")
 def friendly_periods(spark, sf_dir):
-    labels = spark.createDataFrame([(x,) for x in ("2025-annual", "2026-Q1", "2026-H1", "2026-q1", "x")], "label string")
-    return labels.select("label", friendly_period(F.col("label")).alias("friendly"))
+    part = F.get(F.array(*map(F.lit, ("-annual", "-H1", "-Q1", "-Q3", "-q1"))), (F.col("o_orderkey") % 6).cast("int"))
+    year = F.year("o_orderdate").cast("string")
+    label = F.coalesce(F.concat(year, part), F.concat(F.lit("x"), year))
+    return read(spark, sf_dir, "orders").select("o_orderkey", friendly_period(label).alias("friendly"))
 
 
-@query("""SELECT * FROM (VALUES ('1,234', CAST(1234 AS BIGINT), 1234.0, CAST(1234 AS INTEGER)), ('+5%', 0, 5.0, NULL), ('x', 0, 0.0, NULL), ('-3', -3, -3.0, -3), ('INF', 0, 0.0, NULL)) AS v(raw, as_int, as_pct, as_decimals) WHERE raw <> '1,234'
-UNION ALL SELECT '1,234', 1234, 1234.0, NULL""")
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_suppkey * 1000 + 1007 WHEN 3 THEN -s_suppkey ELSE 0 END AS as_int,
+CASE s_suppkey % 5 WHEN 0 THEN CAST(s_suppkey * 1000 + 1007 AS DOUBLE) WHEN 1 THEN CAST(s_suppkey AS DOUBLE) WHEN 3 THEN CAST(-s_suppkey AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS as_pct, CASE s_suppkey % 5 WHEN 3 THEN CAST(-s_suppkey AS INTEGER) END AS as_decimals FROM supplier""")
 def lenient_numbers(spark, sf_dir):
-    raw = spark.createDataFrame([(x,) for x in ("1,234", "+5%", "x", "-3", "INF")], "raw string")
-    return raw.select("raw", lenient_int(F.col("raw")).alias("as_int"), lenient_pct(F.col("raw")).alias("as_pct"), fact_decimals(F.col("raw")).alias("as_decimals"))
+    key = F.col("s_suppkey")
+    text, k = key.cast("string"), key % 5
+    raw = F.when(k == 0, F.format_number(key * 1000 + 1007, 0)).when(k == 1, F.concat(F.lit("+"), text, F.lit("%"))).when(k == 2, "x").when(k == 3, F.concat(F.lit("-"), text)).otherwise("INF")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", lenient_int(raw).alias("as_int"), lenient_pct(raw).alias("as_pct"), fact_decimals(raw).alias("as_decimals"))
 
 
 @query("SELECT c_nationkey AS ticker, string_agg(c_name || ': ' || CAST(c_custkey AS VARCHAR), chr(10) ORDER BY c_custkey) AS feedback FROM customer GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, planner
@@ -15,16 +15,19 @@ from .tables import SQL_WATCHLIST, read, watchlist
 AS_OF = date(2026, 9, 1)
 _VALUES = ", ".join(f"({i}, '{label}', DATE '{deadline}')" for i, (label, _, _, deadline) in enumerate(PERIODS))
 SQL_PERIODS = f"periods AS (SELECT * FROM (VALUES {_VALUES}) AS v(period_ord, period_label, filing_deadline))"
-# Reports: a nation has one of period k if it has customers with c_custkey % 6 = k and a key of 700 or less in 5 of 7.
-SQL_REPORTS = f"""reports AS (SELECT DISTINCT c_nationkey AS ticker, period_label, c_custkey % 11 = 0 AS failed FROM customer JOIN periods ON c_custkey % 6 = period_ord WHERE c_nationkey % 7 < 5 AND c_custkey <= 700),
+# Reports: of each nation and period k, the cents that the customers with c_custkey % 6 = k hold decide: no report if they
+# divide by 3 or all the nation's divide by 5, a failed one if they divide by 5.
+SQL_REPORTS = """cents AS (SELECT c_nationkey AS ticker, period_label, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) * 100 AS BIGINT) AS c FROM customer JOIN periods ON c_custkey % 6 = period_ord GROUP BY 1, 2),
+reports AS (SELECT ticker, period_label, c % 5 = 0 AS failed FROM (SELECT *, sum(c) OVER (PARTITION BY ticker) AS whole FROM cents) WHERE c % 3 <> 0 AND whole % 5 <> 0),
 usable AS (SELECT DISTINCT ticker, period_label FROM reports WHERE NOT failed), skipped AS (SELECT DISTINCT c_nationkey AS ticker, '2025-annual' AS period_label FROM customer WHERE c_nationkey % 7 = 6)"""
 SQL_HEAD = f"WITH {SQL_WATCHLIST}, {SQL_PERIODS}, {SQL_REPORTS}"
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = read(spark, sf_dir, "customer").where("c_nationkey % 7 < 5 and c_custkey <= 700")
     periods = period_frame(spark).select(F.col("period_ord").cast("long").alias("k"), "period_label")
-    return customers.join(F.broadcast(periods), F.col("c_custkey") % 6 == F.col("k")).select(F.col("c_nationkey").alias("ticker"), "period_label", (F.col("c_custkey") % 11 == 0).alias("failed")).distinct()
+    held = read(spark, sf_dir, "customer").join(periods, F.col("c_custkey") % 6 == F.col("k")).groupBy(F.col("c_nationkey").alias("ticker"), "period_label").agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")) * 100).cast("bigint").alias("c"))
+    held = held.withColumn("whole", F.sum("c").over(Window.partitionBy("ticker")))  # six periods at most
+    return held.where("c % 3 <> 0 and whole % 5 <> 0").select("ticker", "period_label", (F.col("c") % 5 == 0).alias("failed"))
 
 
 def _usable(spark, sf_dir):

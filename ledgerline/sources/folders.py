@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names, which all executors share; in local runs without that
-    setting, in a temporary one."""
+    """A new folder in the one that spark.checkpoint.dir names, which all executors share. Only in local runs, where the
+    driver is the one executor, a temporary one stands in for it; on a cluster without that setting this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

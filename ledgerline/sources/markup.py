@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -32,30 +33,30 @@ PREFIXES = {
 }
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.parts.append("\n" if tag in LINE_TAGS else "\t" if tag in CELL_TAGS else "")
-
-    def handle_endtag(self, tag):
-        if tag in LINE_TAGS or tag in CELL_TAGS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if words := data.split():
-            self.parts.append(" ".join(words) + " ")
+# a comment; a raw element with its text; a tag, whose quoted attributes may hold a >; a declaration
+MARK = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>(?P<raw>.*?)(?:</\1\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*>|<[!?][^<>]*>",
+    re.DOTALL | re.IGNORECASE,
+)
 
 
 def markup_text(page: str) -> str:
-    """The text of markup: cells after a bar, blocks on lines of their own; the markup itself if there is no text."""
-    parser = _Text()
-    parser.feed(page)
-    parser.close()
-    rows = (" ".join(row.replace("\t", " | ").split()) for row in "".join(parser.parts).splitlines())
-    return "\n".join(row for row in rows if row) or page
+    """The text of markup: a bar before each cell, blocks and cells on lines of their own, white space as one space;
+    comments and declarations go; the markup itself if there is no text."""
+    lines: list[list[str]] = [[]]
+    at = 0
+    for mark in MARK.finditer(page):
+        lines[-1] += html.unescape(page[at : mark.start()]).split()
+        at, tag = mark.end(), (mark["tag"] or "").lower()
+        if mark["raw"]:
+            lines[-1] += mark["raw"].split()
+        elif tag in CELL_TAGS and not mark["end"]:
+            lines[-1].append("|")
+        elif tag in LINE_TAGS or tag in CELL_TAGS:
+            lines.append([])
+    lines[-1] += html.unescape(page[at:]).split()
+    return "\n".join(" ".join(words) for words in lines if words) or page
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -75,12 +76,13 @@ TEXT_SUFFIX = "(?i)\\.(txt|md)$"
 
 
 def filing_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files (path, content) as texts by their suffix, and those that are skipped. Bytes that aren't UTF-8 are replaced."""
+    """Files (path, content) as texts by their suffix, and those that are skipped, with the reason: pdf (which needs an
+    outside converter) or unknown suffix. Bytes that aren't UTF-8 are replaced."""
     decoded = files.withColumn("text", F.decode("content", "UTF-8"))
     plain = decoded.where(F.col("path").rlike(TEXT_SUFFIX)).select("path", "text")
     marked = with_markup_text(decoded.where(F.col("path").rlike(MARKUP_SUFFIX)).select("path", "text"), "text").select("path", F.col("markup_text").alias("text"))
     known = F.col("path").rlike(MARKUP_SUFFIX) | F.col("path").rlike(TEXT_SUFFIX)
-    return plain.unionByName(marked).withColumn("n_chars", F.char_length("text")), files.where(~known).select("path")
+    return plain.unionByName(marked).withColumn("n_chars", F.char_length("text")), files.where(~known).select("path", F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("unknown suffix").alias("reason"))
 
 
 def prefix_of(namespace: str) -> str:

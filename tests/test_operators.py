@@ -198,7 +198,7 @@ def test_guards(spark):
 def test_secrets(spark):
     key = "AKIA" + "A" * 16
     lines = tx.lines(_docs(spark, f"k = {key}", f"k = {key} # example", "gh" + "p_" + "a" * 36, "PUT_YOUR " + key, "clean"))
-    assert [(r.doc_id, r.label) for r in validate.secrets(lines).orderBy("doc_id").collect()] == [(0, "cloud access key"), (2, "personal access token")]
+    assert [(r.doc_id, r.label) for r in validate.secrets(lines).orderBy("doc_id").collect()] == [(0, "AWS access key"), (2, "GitHub Personal Access Token")]
     files = spark.createDataFrame([("a/b.png",), ("a/b.py",), ("SECURITY.md",)], "path string")
     assert [r.path for r in validate.scanned_files(files, ["SECURITY.md"]).collect()] == ["a/b.py"]
 
