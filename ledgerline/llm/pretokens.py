@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +18,15 @@ KNOWN_PIECES = 500_000  # pieces that a Python worker keeps; beyond, it starts a
 KNOWN_IDS = 8_000_000  # and their ids
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
+SOLID, LETTER, PLAIN = np.ones(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+SOLID[:0x21] = SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = PLAIN[0x21:0x7F] = True
+# a piece begins before a space and a solid byte, and between a letter and a comma or stop
+BEFORE_PAIR, INSIDE_PAIR = np.uint8(1), np.uint8(2)
+_BYTE = np.arange(256)
+FIRST_OF_PAIR = (BEFORE_PAIR * (_BYTE == 0x20) + INSIDE_PAIR * LETTER).astype(np.uint8).tobytes()
+SECOND_OF_PAIR = (BEFORE_PAIR * SOLID + INSIDE_PAIR * np.isin(_BYTE, (0x2C, 0x2E))).astype(np.uint8).tobytes()
+
 
 def byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on."""
@@ -36,15 +45,14 @@ def pieces_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     begin no white space: those from 0x21 on, but for the first bytes of white space beyond ASCII.
     """
     data, rows = flat_bytes(texts)
-    solid, letter, plain = np.ones(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-    solid[:0x21] = solid[[0xC2, 0xE1, 0xE2, 0xE3]] = False
-    letter[0x41:0x5B] = letter[0x61:0x7B] = plain[0x21:0x7F] = True
     cut = np.zeros(len(data) + 1, bool)
     if len(data):
-        here, onward = data[:-1], data[1:]
-        cut[: len(here)] = (here == 0x20) & solid[onward]
-        cut[1 : len(data)] |= letter[here] & ((onward == 0x2C) | (onward == 0x2E))
-        cut[2 : len(data)] |= plain[data[:-2]] & (data[1:-1] == 0x0A) & letter[data[2:]]
+        raw = data.tobytes()
+        pair = np.frombuffer(raw.translate(FIRST_OF_PAIR), np.uint8)[:-1] & np.frombuffer(raw.translate(SECOND_OF_PAIR), np.uint8)[1:]
+        cut[: len(pair)] = pair & BEFORE_PAIR
+        cut[1 : len(data)] |= (pair & INSIDE_PAIR) != 0
+        line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+        cut[line[PLAIN[data[line - 1]] & LETTER[data[line + 1]]] + 1] = True
         cut[rows] = True
     at = np.flatnonzero(cut)
     column = pa.Array.from_buffers(pa.large_string(), max(0, len(at) - 1), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -112,9 +120,9 @@ class TokenIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Those with a space and something after it are encoded as one text, as a pre-token begins at each, and its ids
-        dealt out by their bytes; the others one by one."""
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """The numbers that pieces get. Those with a space and something after it are encoded as one text, as a pre-token
+        begins at each, and its ids dealt out by their bytes; the others one by one."""
         apart = [len(p) > 1 and p[0] == " " and ("!" <= p[1] <= "~" or p[1].isalnum()) for p in pieces]
         spaced = [p for p, a in zip(pieces, apart, strict=True) if a]
         (joined,) = self._encode(["".join(spaced)])
@@ -124,20 +132,25 @@ class TokenIds:
         others = [p for p, a in zip(pieces, apart, strict=True) if not a]
         found = self._encode(others)
         sizes.append(np.array([len(x) for x in found], np.int64))
-        self._known.update(zip(chain(spaced, others), range(len(self._known), len(self._known) + len(pieces)), strict=True))
+        order = np.argsort(~np.array(apart), kind="stable")
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(self._known), len(self._known) + len(pieces))
+        self._known.update(zip(pieces, place.tolist(), strict=True))
         self._ids = np.concatenate([self._ids, joined, np.fromiter(chain.from_iterable(found), np.uint32)])
         self._begin = np.append(self._begin, self._begin[-1] + np.cumsum(np.concatenate(sizes)))
+        return place
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each begins (one more entry than texts). Null is empty."""
         number, pieces, first = pieces_of(texts)
-        new = [p for p in pieces if p not in self._known]
-        if new and (len(self._known) + len(new) > KNOWN_PIECES or len(self._ids) > KNOWN_IDS):
+        place = np.fromiter(map(self._known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(place < 0)
+        if len(new) and (len(self._known) + len(new) > KNOWN_PIECES or len(self._ids) > KNOWN_IDS):
             self._clear()
-            new = pieces
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))[number]
+            new = np.arange(len(pieces))
+        if len(new):
+            place[new] = self._learn([pieces[i] for i in new.tolist()])
+        which = place[number]
         begin, length = self._begin[which], np.diff(self._begin)[which]
         ends = np.append(0, np.cumsum(length))
         return self._ids[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])], ends[first]
