@@ -33,10 +33,11 @@ PREFIXES = {
 }
 
 
-# a comment; a raw element with its text; a tag, whose quoted attributes may hold a >; a declaration
+# a comment; a raw element with its text; a tag, whose quoted attributes may hold a > (with an odd quote it ends at the
+# first one); a declaration. No two ways through the same text, so that broken markup takes linear time.
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>(?P<raw>.*?)(?:</\1\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*>|<[!?][^<>]*>",
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>\"']*+)(?:(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|[^<>]*+>)|<[!?][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 

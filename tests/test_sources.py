@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -52,6 +53,15 @@ def test_markup(spark):
     assert markup.prefix_of("http://dart.fss.or.kr/taxonomy/2020/ifrs/dart") == "dart" and markup.prefix_of("x") == "x"
 
 
+def test_broken_markup_takes_linear_time():
+    start = time.perf_counter()
+    for piece in ('""', "''", "\"'", "<a ", '<a "', "<script", "<!--", "<a b='>", "&", '<a "x>'):
+        assert markup.markup_text("<a " + piece * 100_000 + "x")
+        assert markup.markup_text(piece * 100_000 + "<p>x</p>").endswith("x</p>" if piece == "<!--" else "x")  # without any text, the markup
+    assert time.perf_counter() - start < 20
+    assert markup.markup_text('<a title="1 > 2">a</a> b') == "a b" and markup.markup_text('<a title="b>c</a>d') == "c d"
+
+
 def test_scraped_flows(spark):
     row = "".join(f"<td>{x}</td>" for x in ("2026.05.12", "1,000", "x", "+1.5%", "7,000", "", "-30", "500", "49.4%"))
     page = f'<table class="type2"><tr>{row}</tr><tr><td>short</td></tr></table><table><tr>{row}</tr></table>'
