@@ -36,6 +36,18 @@ def periodic_reports(filings: DataFrame, year: int, code: str) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(newest))
 
 
+def filing_list(filings: DataFrame, corp_code=None, begin: str | None = None, end: str | None = None, page_no: int = 1, page_count: int = 100) -> DataFrame:
+    """One page of a corp's filings (all corps' without one) between two days (yyyyMMdd, both included), newest first,
+    the greater rcept_no first on a day. A page is a limit by its nature; whoever wants all rows filters without it."""
+    day = compact_date(F.col("rcept_dt"))
+    found = filings if corp_code is None else filings.where(F.col("corp_code") == corp_code)
+    if begin is not None:
+        found = found.where(day >= compact_date(F.lit(begin)))
+    if end is not None:
+        found = found.where(day <= compact_date(F.lit(end)))
+    return found.orderBy(F.desc("rcept_dt"), F.desc("rcept_no")).offset((page_no - 1) * page_count).limit(page_count)
+
+
 def first_usable(candidates: DataFrame, ok: str = "ok") -> DataFrame:
     """Each corp's newest candidate that could be read."""
     newest = Window.partitionBy("corp_code").orderBy(F.desc("rcept_dt"), "ord")

@@ -97,3 +97,7 @@ def counts_by_type(hits: DataFrame) -> DataFrame:
 
 def should_publish(hits: DataFrame) -> bool:
     return not hits.isEmpty()
+
+
+def hits_for_ticker(hits: DataFrame, ticker) -> DataFrame:
+    return hits.where(F.col("ticker") == ticker)

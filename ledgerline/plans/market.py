@@ -9,6 +9,7 @@ from ..functions.dates import compact_date, days_after, iso_week, next_weekday_r
 from ..operators import filings as filing_ops
 from ..operators import flows as flow_ops
 from ..operators import holdings, series, triggers
+from ..sources import answers
 from .registry import query
 from .tables import SQL_BARS, SQL_FILINGS, SQL_FLOWS, SQL_IMPACT, SQL_WATCHLIST, bars, filings, flows, read, watchlist
 
@@ -261,3 +262,38 @@ def days_after_annual(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", days_after(day, F.lit("1995-01-01").cast("date")).alias("days"))
 
 
+
+
+@query(f"WITH {SQL_FILINGS} SELECT corp_code, rcept_no, rcept_dt, report_nm FROM filings WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' ORDER BY rcept_dt DESC, rcept_no DESC LIMIT 100 OFFSET 100")
+def filing_page(spark, sf_dir):
+    return filing_ops.filing_list(filings(spark, sf_dir), begin="19960101", end="19971231", page_no=2).select("corp_code", "rcept_no", "rcept_dt", "report_nm")
+
+
+# Each customer's answer: no JSON, refused, without a status, without a list, or whole.
+SQL_ANSWERS = """items AS (SELECT o_custkey AS ticker, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '보통주' ELSE '우선주' END AS se, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord,
+CAST(floor(o_totalprice) AS BIGINT) AS istc, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey AS BIGINT) END AS tes FROM orders)"""
+
+
+def _share_answers(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    item = F.struct(
+        "o_orderkey", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "보통주").otherwise("우선주").alias("se"), F.format_number(F.floor("o_totalprice"), 0).alias("istc_totqy"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.format_number("o_orderkey", 0)).otherwise("x").alias("tesstk_co"), F.lit("-").alias("distb_stock_co"),
+    )
+    whole = orders.groupBy(F.col("o_custkey").alias("ticker")).agg(F.array_sort(F.collect_list(item)).alias("list"))  # a customer's orders are few
+    k = F.col("ticker") % 5
+    status = F.when(k == 1, "013").when(k != 2, "000")
+    text = F.to_json(F.struct(status.alias("status"), F.when(k == 1, "조회된 데이타가 없습니다.").alias("message"), F.lit("1").alias("page_no"), F.when(k != 3, F.col("list")).alias("list")))
+    return answers.answers(whole.select("ticker", F.when(k == 0, F.left(text, F.lit(30))).otherwise(text).alias("text")), answers.SHARES)
+
+
+@query(f"""WITH {SQL_ANSWERS} SELECT ticker, (array_agg(istc ORDER BY ord DESC) FILTER (WHERE se = '보통주'))[1] AS common_shares, (array_agg(tes ORDER BY ord DESC) FILTER (WHERE se = '보통주'))[1] AS treasury_shares,
+CAST(NULL AS BIGINT) AS distributed_shares, (array_agg(istc ORDER BY ord DESC) FILTER (WHERE se = '우선주'))[1] AS preferred_shares FROM items WHERE ticker % 5 IN (2, 4) GROUP BY ticker""")
+def share_answers(spark, sf_dir):
+    found, _ = answers.items(_share_answers(spark, sf_dir), "ticker")
+    return holdings.share_counts(found.withColumnRenamed("nth", "ord"))
+
+
+@query("SELECT DISTINCT o_custkey AS ticker, CASE o_custkey % 5 WHEN 0 THEN 'no JSON' ELSE '013 조회된 데이타가 없습니다.' END AS reason FROM orders WHERE o_custkey % 5 < 2")
+def refused_answers(spark, sf_dir):
+    return answers.items(_share_answers(spark, sf_dir), "ticker")[1]

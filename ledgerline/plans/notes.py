@@ -33,16 +33,29 @@ def daily_note_summary(spark, sf_dir):
     return counts.agg(report.joined(F.concat_ws(" ", "trigger_type", F.col("n").cast("string")), [F.col("display_ord")], ", ").alias("summary"))
 
 
-@query()
+SQL_TOP = """top AS (SELECT ticker, sum(score) AS total_score, min(rank) AS first_rank FROM ranked GROUP BY ticker ORDER BY 2 DESC, 3 LIMIT 3)"""
+
+
+@query(market.SQL_HITS + f""", {SQL_TOP}, c AS (SELECT trigger_type, count(*) AS n, CASE trigger_type WHEN 'price_move' THEN 0 WHEN 'dart_disclosure' THEN 1 WHEN 'foreign_flow' THEN 2 ELSE 3 END AS o FROM hits GROUP BY 1),
+cards AS (SELECT ticker, total_score, first_rank, '### ' || ticker || chr(10) || string_agg('- ' || trigger_type || ' ' || printf('%.2f', severity), chr(10) ORDER BY rank) AS card FROM ranked JOIN top USING (ticker) GROUP BY ticker, total_score, first_rank)
+SELECT '# 2026-05-12' || chr(10) || chr(10) || '> **트리거**: ' || (SELECT string_agg(trigger_type || ' ' || n, ', ' ORDER BY o) FROM c) || chr(10) || chr(10) || (SELECT string_agg(card, chr(10) || chr(10) ORDER BY total_score DESC, first_rank) FROM cards) AS note""")
 def daily_note(spark, sf_dir):
     hits = market._hits(spark, sf_dir)
     return report.daily_note("2026-05-12", hits, triggers.counts_by_type(hits), triggers.top_tickers(hits))
 
 
-@query()
+REPORT = "fetch_date string, should_publish boolean, tickers bigint, top array<struct<ticker:bigint,total_score:double>>, hits array<struct<rank:int,ticker:bigint,trigger_type:string,severity:double,score:double>>"
+
+
+@query(market.SQL_HITS + f""", {SQL_TOP}, placed AS (SELECT ticker, row_number() OVER (ORDER BY total_score DESC, first_rank) AS place FROM top)
+SELECT '2026-05-12' AS fetch_date, true AS should_publish, (SELECT count(DISTINCT ticker) FROM ranked) AS tickers, r.rank, r.ticker, trigger_type, round(severity, 6) AS severity, round(score, 6) AS score, coalesce(place, 0) AS top_place
+FROM ranked r LEFT JOIN placed p ON r.ticker = p.ticker""")
 def trigger_report_json(spark, sf_dir):
+    """The report's JSON, read back: a row for each hit, with its ticker's place among the top ones (0 for none)."""
     hits = market._hits(spark, sf_dir)
-    return report.trigger_report("2026-05-12", hits, triggers.top_tickers(hits))
+    told = report.trigger_report("2026-05-12", hits, triggers.top_tickers(hits)).select(F.from_json("report", REPORT).alias("r"))
+    rows = told.select("r.fetch_date", "r.should_publish", "r.tickers", F.transform("r.top", lambda t: t.ticker).alias("top"), F.explode("r.hits").alias("h"))
+    return rows.select("fetch_date", "should_publish", "tickers", "h.rank", "h.ticker", "h.trigger_type", F.round("h.severity", 6).alias("severity"), F.round("h.score", 6).alias("score"), F.array_position("top", F.col("h.ticker")).alias("top_place"))
 
 
 @query("""WITH e AS (SELECT event_type, ts, CAST(value AS DECIMAL(18,2)) AS v FROM events), w AS (SELECT event_type, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, v FROM e CROSS JOIN range(0, 3) AS r(k))

@@ -267,7 +267,18 @@ def unknown_vs_asserted(spark, sf_dir):
     return validate.unknown_and_asserted(documents(spark, sf_dir).withColumn("text", F.concat("text", tail)))
 
 
-@query()
+# Markup cut into its pieces: comments, raw elements, tags, declarations and what stands between.
+SQL_PIECES = """pieces AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b[^<>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^<>]*>.*?(?:</style\\s*>|\\z)|</?[a-z](?:[^<>"'']|"[^"<]*"|''[^''<]*'')*>|<[!?/a-z][^<>]*>|<|[^<]+') AS p FROM pages)"""
+SQL_PIECE_TEXT = """CASE WHEN starts_with(x, '<!') OR starts_with(x, '<?') THEN '' WHEN regexp_matches(x, '(?is)^<(script|style)\\b') THEN regexp_replace(regexp_replace(x, '(?is)^<[^<>]*>', ''), '(?is)</(script|style)\\s*>$', '')
+WHEN regexp_matches(x, '(?is)^<(td|th|tu)(\\s|/|>)') THEN '|' WHEN regexp_matches(x, '(?is)^</?[a-z].*>$') THEN ''
+ELSE regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp$', '&') END"""
+SQL_SPACE = "'(?s)[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'"
+
+
+@query(f"""WITH {SQL_PIECES}, told AS (SELECT page_id, html, list_transform(p, lambda x: CASE WHEN regexp_matches(x, '(?is)^(</?(br|p|table|tr|section|title)|</(td|th|tu))(\\s|/|>)') THEN chr(10)
+  ELSE regexp_replace({SQL_PIECE_TEXT}, {SQL_SPACE}, ' ', 'g') END) AS q FROM pieces),
+lines AS (SELECT page_id, html, list_filter(list_transform(string_split(array_to_string(q, ' '), chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '') AS l FROM told)
+SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN len(l) = 0 THEN html ELSE array_to_string(l, chr(10)) END AS markup_text FROM lines""")
 def markup_to_text(spark, sf_dir):
     return with_markup_text(read(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "markup_text")
 

@@ -7,7 +7,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerline.sources import markup, sinks, tables
+from ledgerline import rules
+from ledgerline.operators import filings, holdings, triggers, validate
+from ledgerline.sources import answers, markup, sinks, tables
 
 XBRL = """<?xml version="1.0"?><xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:ifrs="http://xbrl.ifrs.org/taxonomy/2021-03-24/ifrs-full">
 <xbrli:context id="c1"><xbrli:entity><xbrli:segment><xbrldi:explicitMember dimension="a:Axis">a:Member</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2025-12-31</xbrli:instant></xbrli:period></xbrli:context>
@@ -90,3 +92,41 @@ def test_health_and_snapshots(spark, tmp_path):
     sinks.write_snapshot(frame, str(tmp_path / "s"), "company", "period")
     sinks.write_snapshot(frame.where("company = 'a'").withColumn("v", F.lit(9)), str(tmp_path / "s"), "company", "period")
     assert {r.company: r.v for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"a": 9, "b": 2}
+
+
+def test_answers(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"status": "000", "page_no": 1, "list": [{"repror": "SK스퀘어㈜", "stkrt": "20.07", "rcept_dt": "2026-02-01"}, {"repror": "BlackRock, Inc.", "stkrt": "5.42", "rcept_dt": "2026-02-01"}]}')
+    (tmp_path / "2.json").write_text('{"page_no": "2", "list": [{"repror": "BlackRock, Inc.", "stkrt": "4.99", "rcept_dt": "2025-08-01", "more": 1}]}')
+    (tmp_path / "3.json").write_text('{"status": "020", "message": "limit"}')
+    (tmp_path / "4.json").write_text("<html>")
+    (tmp_path / "5.json").write_text('{"status": "000"}')
+    found, refused = answers.items(answers.answers(tables.whole_texts(spark, str(tmp_path)), answers.HOLDER), "path")
+    assert {(r.path[-6:], r.reason) for r in refused.collect()} == {("3.json", "020 limit"), ("4.json", "no JSON")}
+    assert {(r.page_no, r.nth, r.repror) for r in found.collect()} == {(1, 0, "SK스퀘어㈜"), (1, 1, "BlackRock, Inc."), (2, 0, "BlackRock, Inc.")}
+    holders = found.select(F.lit("t").alias("ticker"), (F.col("page_no") * 1000 + F.col("nth")).alias("ord"), *answers.holder_columns())
+    (r,) = holdings.foreign_summary(holdings.latest_per_holder(holders)).collect()
+    assert (r.holders, r.foreign_holders, r.foreign_pct) == (2, 1, 5.42)
+    (none,) = answers.answers(spark.createDataFrame([(None,)], "text string"), answers.FILING).collect()
+    assert (none.reason, none.list) == ("no JSON", None)
+
+
+def test_filing_pages(spark):
+    rows = [("c", f"r{i}", f"202605{10 + i // 2}") for i in range(8)] + [("d", "x", "20260512"), ("c", "bad", "soon"), ("c", "old", None)]
+    table = spark.createDataFrame(rows, "corp_code string, rcept_no string, rcept_dt string")
+    page = lambda n: [r.rcept_no for r in filings.filing_list(table, "c", "20260511", "20260513", page_no=n, page_count=4).collect()]
+    assert (page(1), page(2), page(3)) == (["r7", "r6", "r5", "r4"], ["r3", "r2"], [])
+
+
+def test_rules_as_tables(spark):
+    table = rules.rule_frame(spark, rules.VAGUE_SOURCE, "vague_source").unionByName(rules.rule_frame(spark, [("zz+", "no zz")], "mine"))
+    assert [p for p, _ in rules.rules_of(table, "vague_source")] == list(rules.VAGUE_SOURCE)
+    docs = spark.createDataFrame([(1, "a zzz b"), (2, "a")], "doc_id int, text string")
+    assert [tuple(r) for r in validate.failure_markers(docs, rules.rules_of(table, "mine")).collect()] == [(1, 0, "no zz")]
+    try:
+        rules.rules_of(table, "vague_source", most=1)
+    except ValueError as error:
+        assert "vague_source" in str(error)
+    else:
+        raise AssertionError
+    hits = spark.createDataFrame([("a", 1), ("b", 2)], "ticker string, rank int")
+    assert [r.rank for r in triggers.hits_for_ticker(hits, "b").collect()] == [2]
