@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_extraction import op9_html_extraction
 from .jaccard_join import op5_jaccard_join
+from .line_dedup import op12_line_dedup
 from .media_columns import op4_media_columns
 from .mixing import op7_mixing
 from .nearest import op10_nearest
@@ -13,7 +14,7 @@ from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 from .url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest, op12_line_dedup)}
 
 WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents)"
 ORACLES: dict[str, str] = {
@@ -39,4 +40,9 @@ f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
 t AS (SELECT k, source_size, least(most, weight * (SELECT level FROM f WHERE level * weight <= most ORDER BY most / weight, nth LIMIT 1)) AS target FROM f),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d JOIN t ON d.k = t.k)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b + size, words) - b) + greatest(0, least(b + source_size + size, words) - b - source_size) AS BIGINT) AS taken FROM p""",
+    "op12_line_dedup": """WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+k AS (SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, min(doc_id) AS lo FROM k WHERE length(key) >= 10 GROUP BY key),
+d AS (SELECT k.doc_id, k.i, k.line, coalesce(m.lo < k.doc_id, false) AS gone FROM k LEFT JOIN m ON k.key = m.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
 }
