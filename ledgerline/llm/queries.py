@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fill_in_middle import op11_fill_in_middle
 from .html_extraction import op9_html_extraction
 from .jaccard_join import op5_jaccard_join
 from .line_dedup import op12_line_dedup
@@ -9,12 +10,13 @@ from .media_columns import op4_media_columns
 from .mixing import op7_mixing
 from .nearest import op10_nearest
 from .packing import op3_packing
+from .periodic_runs import op13_periodic_runs
 from .quality import op6_quality
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 from .url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest, op12_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_media_columns, op5_jaccard_join, op6_quality, op7_mixing, op8_url_filter, op9_html_extraction, op10_nearest, op11_fill_in_middle, op12_line_dedup, op13_periodic_runs)}
 
 WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS a FROM documents)"
 ORACLES: dict[str, str] = {
@@ -40,6 +42,13 @@ f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
 t AS (SELECT k, source_size, least(most, weight * (SELECT level FROM f WHERE level * weight <= most ORDER BY most / weight, nth LIMIT 1)) AS target FROM f),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d JOIN t ON d.k = t.k)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b + size, words) - b) + greatest(0, least(b + source_size + size, words) - b - source_size) AS BIGINT) AS taken FROM p""",
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS s FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS a, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(a) AS BIGINT) AS n, least(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS lo, greatest(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS hi,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(a[1:lo], ''), '') AS prefix, coalesce(array_to_string(a[lo + 1:hi], ''), '') AS middle, coalesce(array_to_string(a[hi + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     "op12_line_dedup": """WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
 k AS (SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 m AS (SELECT key, min(doc_id) AS lo FROM k WHERE length(key) >= 10 GROUP BY key),
