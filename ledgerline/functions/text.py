@@ -76,16 +76,6 @@ def markdown_cells(line: Column) -> Column:
     return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.regexp_replace(trimmed(c), "[*]", ""))
 
 
-def budgets(docs: DataFrame, most: int, total: int, key: str = "grp", order: str = "ord", size: str = "n_chars") -> DataFrame:
-    """Adds budget: each row of a key gets an equal share of ``total`` (no more than its size and ``most``), and what
-    is left goes to the rows in order."""
-    group, before = Window.partitionBy(key), Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    want = F.least(F.col(size), F.lit(most))
-    out = docs.withColumn("base", F.least(want, F.greatest(F.lit(1), F.floor(F.lit(total) / F.count("*").over(group))))).withColumn("room", want - F.col("base"))
-    rest = F.lit(total) - F.sum("base").over(group) - F.coalesce(F.sum("room").over(before), F.lit(0))
-    return out.withColumn("budget", (F.col("base") + F.least("room", F.greatest(rest, F.lit(0)))).cast("long")).drop("base", "room")
-
-
 def first_paragraph(text: Column) -> Column:
     """The first paragraph of 50 characters or more outside headers and the data box, else the first one's first line."""
     kept = F.filter(split_lines(text), lambda s: ~trimmed(s).startswith("---") & ~trimmed(s).startswith(">"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.dates import holds_any
+from .ranking import ranked
 from .series import latest, one_row_change
 
 HIT = ["ticker", "trigger_type", "severity"]
@@ -78,8 +79,8 @@ def ranked_hits(watchlist: DataFrame, *hits: DataFrame) -> DataFrame:
     for more in hits[1:]:
         union = union.unionByName(more.select(*HIT))
     scored = union.join(watchlist.select("ticker", "ord"), "ticker").withColumn("score", score(F.col("trigger_type"), F.col("severity")))
-    order = Window.orderBy(F.desc("score"), "ord", trigger_order(F.col("trigger_type")))
-    return scored.withColumn("rank", F.row_number().over(order)).select("rank", *HIT, "score", "ord")
+    scored = scored.withColumn("kind_ord", trigger_order(F.col("trigger_type")))
+    return ranked(scored, F.desc("score"), F.col("ord"), F.col("kind_ord")).select(F.col("rank").cast("int").alias("rank"), *HIT, "score", "ord")
 
 
 def top_tickers(hits: DataFrame, n: int = 3) -> DataFrame:

@@ -129,33 +129,50 @@ def consistency(doc_lines: DataFrame, authority: DataFrame, key: str = "doc_id")
     return out.select(key, "line_no", "fact_key", "expected", "found", ((F.col("found") - F.col("expected")) / F.col("expected") * 100).alias("deviation_pct"))
 
 
+def _places(low: Column, word: str, near: int) -> Column:
+    """The places of a word in a text without characters beyond 16 bits, in order: word, nth, window (``near`` characters on
+    both sides of its begin) and breaks (line breaks since the place before). Each array is walked once."""
+    quoted = f"\\Q{word}\\E"
+    around = F.lit(f"(?s)(?={quoted})(?<=(.{{{near}}}|\\A.{{0,{near - 1}}}))(?=(.{{1,{near}}})){quoted}")
+    windows = F.zip_with(F.regexp_extract_all(low, around, F.lit(1)), F.regexp_extract_all(low, around, F.lit(2)), lambda a, b: F.concat(a, b))
+    breaks = F.transform(F.split(low, quoted, -1), lambda part: F.char_length(part) - F.char_length(F.replace(part, F.lit("\n"), F.lit(""))))
+    pairs = F.zip_with(windows, breaks, lambda w, b: F.struct(w.alias("window"), b.alias("breaks")))  # after the last place there is one part more
+    numbered = F.transform(pairs, lambda x, nth: F.struct(F.lit(word).alias("word"), nth.alias("nth"), x["window"].alias("window"), x["breaks"].alias("breaks")))
+    return F.when(F.contains(low, F.lit(word)), F.filter(numbered, lambda x: x["window"].isNotNull()))
+
+
 def unknown_and_asserted(docs: DataFrame, words: Sequence[str] = rules.CROSS_CHECK, key: str = "doc_id", near: int = 60) -> DataFrame:
     """Keywords that one place of a text calls unconfirmed and another gives an amount for: key, word.
 
-    Places marked as inference count as neither, and an unconfirmed one about the future doesn't count.
+    Places marked as inference count as neither, and an unconfirmed one about the future doesn't count. A place is told by
+    its line, which is read once for all places on it, and by ``near`` characters on both sides of the keyword's begin.
+    Keywords are found in any case. Time follows the text's length and the number of places; texts stay in their rows.
     """
-    text = F.col("text")
-    each = docs.where("text is not null").select(key, "text", F.explode(_array_of(words)).alias("word")).where(F.contains(F.lower(text), F.lower("word")))
-    parts = F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower("word"), F.lit("\\E")), -1)
-    each = each.withColumn("parts", parts).where(F.size("parts") > 1)
-    size = F.char_length("word")
-    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda s, p: s + F.char_length(p)) + (i - 1) * size)
-
-    def place(at: Column) -> Column:  # at: characters before the keyword
-        line = F.concat(F.substring_index(F.left(text, at), "\n", -1), F.substring_index(F.substr(text, at + 1), "\n", 1))
-        low = F.greatest(at - near, F.lit(0))
-        return F.struct(line.alias("line"), F.substr(text, low + 1, at + near - low).alias("window"))
-
-    # the places alone go on; the text isn't repeated for each
-    at = each.select(key, "word", F.explode(F.transform(ends, place)).alias("place")).select(key, "word", "place.*")
-    marked, unconfirmed = F.contains("line", F.lit(rules.INFERENCE)), F.col("line").rlike(rules.NOT_CONFIRMED)
-    asserted = F.col("line").rlike(rules.ANY_AMOUNT) | (F.col("window").rlike(rules.ANY_AMOUNT) & ~F.col("window").rlike(rules.NOT_CONFIRMED))
+    low = F.regexp_replace(F.lower("text"), "[\\x{10000}-\\x{10FFFF}]", "\uFFFD")
+    rows = docs.where("text is not null").select(F.col(key).alias("its_key"), F.xxhash64(key, "text").alias("id"), low.alias("low"))
+    lowered = {word.lower(): word for word in words}
+    each = F.flatten(F.array_compact(F.array(*(_places(F.col("low"), word, near) for word in lowered))))
+    places = rows.select("its_key", "id", F.explode(each).alias("place")).select("its_key", "id", "place.*")
+    upto = Window.partitionBy("id", "word").orderBy("nth").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    copies = F.sum((F.col("nth") == 0).cast("int")).over(Window.partitionBy("id", "word"))  # a row that comes twice has each place twice
+    places = places.withColumn("line_no", (F.sum("breaks").over(upto) / copies).cast("int"))
+
+    holds = F.lit(False)
+    for word in lowered:
+        holds = holds | F.contains("line", F.lit(word))
+    lines = rows.select("id", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line")).where(holds)
+    flags = {"marked": F.contains("line", F.lit(rules.INFERENCE)), "unconfirmed": F.col("line").rlike(rules.NOT_CONFIRMED), "future": F.col("line").rlike(rules.FUTURE), "amount": F.col("line").rlike(rules.ANY_AMOUNT)}
+    lines = lines.select("id", "line_no", *(c.alias(name) for name, c in flags.items())).distinct()
+
+    asserted = F.col("amount") | (F.col("window").rlike(rules.ANY_AMOUNT) & ~F.col("window").rlike(rules.NOT_CONFIRMED))
     kind = (
-        F.when(marked, "none").when(unconfirmed, F.when(F.col("line").rlike(rules.FUTURE), "none").otherwise("unknown"))
+        F.when(F.col("marked"), "none").when(F.col("unconfirmed"), F.when(F.col("future"), "none").otherwise("unknown"))
         .when(F.contains("window", F.lit(rules.INFERENCE)), "none").when(asserted, "asserted").otherwise("none")
     )
-    per = at.withColumn("kind", kind).groupBy(key, "word").agg(F.bool_or(F.col("kind") == "unknown").alias("unknown"), F.bool_or(F.col("kind") == "asserted").alias("asserted"))
-    return per.where("unknown and asserted").select(key, "word")
+    found = places.join(lines, ["id", "line_no"]).withColumn("kind", kind)
+    per = found.groupBy("its_key", "word").agg(F.bool_or(F.col("kind") == "unknown").alias("unknown"), F.bool_or(F.col("kind") == "asserted").alias("asserted"))
+    as_given = F.element_at(F.create_map(*(F.lit(x) for pair in lowered.items() for x in pair)), F.col("word"))
+    return per.where("unknown and asserted").select(F.col("its_key").alias(key), as_given.alias("word"))
 
 
 def input_guard(filings: DataFrame, facts: DataFrame, key: str = "doc_id", least_chars: int = 5000, least_facts: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators import holdings, report, validate
+from ..operators.ranking import budgets
 from ..rules import FOREIGN_NAMES, SECRETS, SECTION_ALIASES, alias_frame, authority_frame
 from ..sources.markup import with_markup_text
 from .registry import query
@@ -119,7 +120,7 @@ r AS (SELECT *, want - base AS room, 60000 - sum(base) OVER (PARTITION BY grp) -
 SELECT doc_id, CAST(base + least(room, greatest(rest, 0)) AS BIGINT) AS budget FROM r""")
 def budget_greedy(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("grp"), F.col("doc_id").alias("ord"), "n_chars")
-    return tx.budgets(docs, 3000, 60_000).select("doc_id", "budget")
+    return budgets(docs, 3000, 60_000).select("doc_id", "budget")
 
 
 @query(f"""WITH {SQL_LINES}, h AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)\\bof the\\b.*\\bof the\\b') THEN 0 WHEN regexp_matches(line, 'nicht') THEN 1 WHEN regexp_matches(line, '(^|\\s)pour(\\s|$)') THEN 2 END AS rule_ord FROM doc_lines)

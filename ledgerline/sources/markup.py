@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -108,44 +110,73 @@ def _own_text(element: ET.Element | None) -> str | None:
 KINDS = "kind string, path string, ord long, id string, ref string, name string, value string, unit string, decimals string, period_type string, period_start string, period_end string, dimensions array<struct<axis:string,member:string>>"
 
 
+def _instance_row(e: ET.Element) -> dict | None:
+    """A context, unit or fact that stands right below the root."""
+    namespace, local = _split_tag(e.tag)
+    if namespace == INSTANCE and local == "context" and (period := e.find(f"{{{INSTANCE}}}period")) is not None:
+        instant = period.find(f"{{{INSTANCE}}}instant")
+        found = {"period_type": "instant", "period_end": _own_text(instant)} if instant is not None else {
+            "period_type": "duration", "period_start": _own_text(period.find(f"{{{INSTANCE}}}startDate")), "period_end": _own_text(period.find(f"{{{INSTANCE}}}endDate")),
+        }
+        members = e.findall(f"{{{INSTANCE}}}entity/{{{INSTANCE}}}segment/{{{DIMENSIONS}}}explicitMember")
+        dims = [{"axis": m.get("dimension"), "member": _own_text(m)} for m in members if m.get("dimension")]
+        return found | {"kind": "context", "id": e.get("id") or "", "dimensions": dims}
+    if namespace == INSTANCE and local == "unit":
+        return {"kind": "unit", "id": e.get("id") or "", "value": _own_text(e.find(f"{{{INSTANCE}}}measure"))}
+    if namespace not in (INSTANCE, LINKBASE) and e.get("contextRef") and (text := _own_text(e)):
+        prefix = prefix_of(namespace)
+        return {"kind": "fact", "ref": e.get("contextRef"), "name": f"{prefix}:{local}" if prefix else local, "value": text, "unit": e.get("unitRef"), "decimals": e.get("decimals")}
+    return None
+
+
+def _linkbase_row(e: ET.Element) -> dict | None:
+    """A locator, arc or label, wherever it stands."""
+    namespace, local = _split_tag(e.tag)
+    if namespace != LINKBASE or local not in ("loc", "label", "labelArc"):
+        return None
+    at = lambda name: e.get(f"{{{XLINK}}}{name}") or ""
+    if local == "loc":
+        return {"kind": local, "id": at("label"), "name": at("href").partition("#")[2]}
+    if local == "labelArc":
+        return {"kind": local, "id": at("from"), "ref": at("to")}
+    text = _own_text(e)
+    return {"kind": local, "id": at("label"), "name": at("role"), "unit": e.get(LANGUAGE) or "", "value": text} if text else None
+
+
 def _xbrl_rows(path: str, content: bytes) -> Iterator[dict]:
-    root = ET.fromstring(content)
-    for i, e in enumerate(root):
-        namespace, local = _split_tag(e.tag)
-        row = {"path": path, "ord": i}
-        if namespace == INSTANCE and local == "context" and (period := e.find(f"{{{INSTANCE}}}period")) is not None:
-            instant = period.find(f"{{{INSTANCE}}}instant")
-            found = {"period_type": "instant", "period_end": _own_text(instant)} if instant is not None else {
-                "period_type": "duration", "period_start": _own_text(period.find(f"{{{INSTANCE}}}startDate")), "period_end": _own_text(period.find(f"{{{INSTANCE}}}endDate")),
-            }
-            members = e.findall(f"{{{INSTANCE}}}entity/{{{INSTANCE}}}segment/{{{DIMENSIONS}}}explicitMember")
-            dims = [{"axis": m.get("dimension"), "member": _own_text(m)} for m in members if m.get("dimension")]
-            yield row | found | {"kind": "context", "id": e.get("id") or "", "dimensions": dims}
-        elif namespace == INSTANCE and local == "unit":
-            yield row | {"kind": "unit", "id": e.get("id") or "", "value": _own_text(e.find(f"{{{INSTANCE}}}measure"))}
-        elif namespace not in (INSTANCE, LINKBASE) and e.get("contextRef") and (text := _own_text(e)):
-            prefix = prefix_of(namespace)
-            yield row | {"kind": "fact", "ref": e.get("contextRef"), "name": f"{prefix}:{local}" if prefix else local, "value": text, "unit": e.get("unitRef"), "decimals": e.get("decimals")}
-    for i, e in enumerate(root.iter()):
-        namespace, local = _split_tag(e.tag)
-        if namespace != LINKBASE or local not in ("loc", "label", "labelArc"):
+    """Elements as they end; what has been read is let go: below the root at its end, inside a linkbase at once. ord is
+    an instance element's place below the root and a linkbase element's place in the whole file."""
+    parents: list[tuple[ET.Element, int]] = []  # with their places in the file
+    seen = below_root = 0
+    for event, e in ET.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            parents.append((e, seen))
+            seen += 1
             continue
-        at = lambda name: e.get(f"{{{XLINK}}}{name}") or ""  # noqa: E731, B023
-        row = {"path": path, "ord": i, "kind": local}
-        if local == "loc":
-            yield row | {"id": at("label"), "name": at("href").partition("#")[2]}
-        elif local == "labelArc":
-            yield row | {"id": at("from"), "ref": at("to")}
-        elif text := _own_text(e):
-            yield row | {"id": at("label"), "name": at("role"), "unit": e.get(LANGUAGE) or "", "value": text}
+        _, place = parents.pop()
+        if len(parents) == 1:
+            if row := _instance_row(e):
+                yield {"path": path, "ord": below_root} | row
+            below_root += 1
+        row = _linkbase_row(e)
+        if row:
+            yield {"path": path, "ord": place} | row
+        if len(parents) == 1 or (parents and _split_tag(e.tag)[0] == LINKBASE):
+            e.clear()
+            parents[-1][0].remove(e)
+
+
+BATCH_ROWS = 10_000
 
 
 def _xbrl(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     members = pa.list_(pa.struct([("axis", pa.string()), ("member", pa.string())]))
     fields = [(c.split(" ")[0], pa.int64() if c.endswith("long") else members if c.startswith("dimensions") else pa.string()) for c in re.split(r", (?![^<]*>)", KINDS)]
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_pylist(list(_xbrl_rows(path, content)), pa.schema(fields))
+        for k in range(batch.num_rows):
+            rows = _xbrl_rows(batch.column("path")[k].as_py(), batch.column("content")[k].as_py())
+            while some := list(islice(rows, BATCH_ROWS)):
+                yield pa.RecordBatch.from_pylist(some, pa.schema(fields))
 
 
 def xbrl_elements(files: DataFrame) -> DataFrame:

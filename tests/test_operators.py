@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline import rules
 from ledgerline.functions import dates, numbers
 from ledgerline.functions import text as tx
-from ledgerline.operators import dashboard, facts, filings, flows, holdings, planner, report, series, triggers, validate
+from ledgerline.operators import dashboard, facts, filings, flows, holdings, planner, ranking, report, series, triggers, validate
 
 
 def one(frame, column):
@@ -205,9 +205,9 @@ def test_secrets(spark):
 
 def test_budgets(spark):
     frame = spark.createDataFrame([("g", 0, 100), ("g", 1, 100)], "grp string, ord int, n_chars int")
-    assert [r.budget for r in tx.budgets(frame, 100, 120).orderBy("ord").collect()] == [60, 60]
+    assert [r.budget for r in ranking.budgets(frame, 100, 120).orderBy("ord").collect()] == [60, 60]
     frame = spark.createDataFrame([("g", 0, 10), ("g", 1, 100), ("g", 2, 100)], "grp string, ord int, n_chars int")
-    assert [r.budget for r in tx.budgets(frame, 90, 150).orderBy("ord").collect()] == [10, 90, 50]
+    assert [r.budget for r in ranking.budgets(frame, 90, 150).orderBy("ord").collect()] == [10, 90, 50]
 
 
 def test_planner(spark):
