@@ -136,6 +136,15 @@ def takings(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return met.select("key", "begin", "slot", (low - F.col("from")).alias("skip"), (high - low).alias("words")).where("words > 0")
 
 
+def planned(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """placed, with source_size, target, words and n_slots of each row's source, and the schedule; both written."""
+    rows = placed(docs, seed)
+    goal = materialise(targets(rows, share, most, weights), "targets")
+    plan = materialise(schedule(goal, slots), "schedule")
+    sources = goal.join(plan.groupBy("key").agg(F.max("n_slots").alias("n_slots"), F.max("words").alias("words")), "key", "left")
+    return materialise(rows.join(materialise(sources, "sources").drop("nth"), "key"), "placed"), plan
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 0, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, shuffle, begin, size, source_size, target, taken (words the mix takes of the document, repeats
     counted) and first_slot (its first place in the mix; null if it isn't taken).
@@ -146,11 +155,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     same rows give the same mix, however they are partitioned. An empty table gives an empty table. Columns other than
     doc_id, text and source aren't read.
     """
-    rows = placed(docs, seed)
-    goal = materialise(targets(rows, share, most, weights), "targets")
-    plan = materialise(schedule(goal, slots), "schedule")
-    sources = goal.join(plan.groupBy("key").agg(F.max("n_slots").alias("n_slots"), F.max("words").alias("words")), "key", "left")
-    rows = materialise(rows.join(materialise(sources, "sources").drop("nth"), "key"), "placed")
+    rows, plan = planned(docs, share, most, weights, seed, slots)
     taken = takings(rows.select("key", "begin", "end", "source_size", "n_slots", "words"), plan).groupBy("key", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     # a document without words may begin where another does; these have places of their own, spread by their hash
     rows = rows.withColumn("at", F.when(F.col("size") > 0, F.col("begin")).otherwise(-1 - F.crc32("shuffle")))
@@ -158,18 +163,30 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     return out.select("doc_id", "source", "shuffle", "begin", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed_corpus(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """The documents as the mix takes them: a row for each whole time, and one with the first words (one space
-    between) where the target ends inside the document. Documents that aren't taken go. Columns are kept; repeated
-    rows are each taken as often as the one of them that is taken most."""
-    taken = mix(docs, seed=seed, **options).groupBy(F.col("shuffle").alias("mix_key")).agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0")
-    rows = docs.withColumn("mix_key", shuffle_of(seed)).join(taken, "mix_key")
-    rest = (F.col("mix_taken") % F.col("mix_size")).cast("int")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    whole = F.array_repeat(F.col("text"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    texts = F.when(rest > 0, F.concat(whole, F.array(first_words))).otherwise(whole)
-    return rows.withColumn("text", F.explode(texts)).select(*docs.columns)
+def mixed_corpus(docs: DataFrame, seed: int = 0, slots: int = SLOTS, **options) -> DataFrame:
+    """The documents as the mix takes them, in the order of the schedule: a row for each time, with the first words (one
+    space between) where the target ends inside the document. Documents that aren't taken go. Columns are kept. Each of
+    several equal rows is taken for itself: they stand one after the other in their source's stream.
+
+    Every partition is a stretch of the schedule and sorted by the slots in which its rows begin. So whoever writes the
+    rows, or reads on in each partition, meets the sources as evenly as the schedule deals them out.
+    """
+    rows, plan = planned(docs, seed=seed, slots=slots, **options)
+    least = {"at": "begin", "size": "size", "source": "key", "all": "source_size", "words": "words", "slots": "n_slots"}
+    groups = rows.where("size > 0 and n_slots > 0").groupBy(F.col("shuffle").alias("mix_key")).agg(*(F.min(c).alias(f"mix_{name}") for name, c in least.items()))
+    taken = docs.withColumn("mix_key", shuffle_of(seed)).join(groups, "mix_key")
+    taken = taken.withColumn("mix_copy", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")) - 1)
+    begins = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(mix_words - 1) div mix_all")), lambda n: F.col("mix_at") + F.col("mix_copy") * F.col("mix_size") + n * F.col("mix_all"))
+    taken = taken.withColumn("mix_from", F.explode(begins)).where("mix_from < mix_words").withColumn("mix_rank", F.expr("((mix_from + 1) * mix_slots - 1) div mix_words"))
+    taken = taken.join(plan.select(F.col("key").alias("mix_source"), F.col("rank").alias("mix_rank"), F.col("slot").alias("mix_slot")), ["mix_source", "mix_rank"])
+    left = F.col("mix_words") - F.col("mix_from")
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    taken = taken.withColumn("text", F.when(left < F.col("mix_size"), first_words).otherwise(F.col("text")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many slots for each partition; there are ``slots`` and a few more for each source, which the last one takes
+    stretch = F.least(F.expr(f"mix_slot * {tasks} div {slots}"), F.lit(tasks - 1)).cast("int")
+    return taken.repartitionById(tasks, stretch).sortWithinPartitions("mix_slot", "mix_key", "mix_copy").select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")

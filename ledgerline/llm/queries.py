@@ -40,8 +40,14 @@ s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORD
 w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, CAST(2 * source_size AS DOUBLE) AS most FROM s),
 f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT k, source_size, least(most, weight * (SELECT level FROM f WHERE level * weight <= most ORDER BY most / weight, nth LIMIT 1)) AS target FROM f),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d JOIN t ON d.k = t.k)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b + size, words) - b) + greatest(0, least(b + source_size + size, words) - b - source_size) AS BIGINT) AS taken FROM p""",
+p AS (SELECT d.doc_id, d.k, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d JOIN t ON d.k = t.k),
+g AS (SELECT k, words, CAST(ceil(CAST(words AS DOUBLE) / CAST(sum(words) OVER () AS DOUBLE) * 65536) AS BIGINT) + least(greatest(words, 16), 64) AS part FROM (SELECT k, CAST(round(target) AS BIGINT) AS words FROM t) WHERE words > 0),
+h AS (SELECT k, words, CAST(sum(part) OVER () AS BIGINT) AS n, CAST(coalesce(sum(part) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low, part FROM g),
+i AS (SELECT slot, (slot * CAST(0.6180339887498949 AS DOUBLE)) % CAST(1 AS DOUBLE) AS point FROM (SELECT unnest(range((SELECT max(n) FROM h))) AS slot)),
+s2 AS (SELECT k, words, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY k) AS n_slots FROM i JOIN h ON point >= CAST(low AS DOUBLE) / n AND point < CAST(low + part AS DOUBLE) / n),
+n AS (SELECT DISTINCT k, n_slots FROM s2)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b + size, p.words) - b) + greatest(0, least(b + source_size + size, p.words) - b - source_size) AS BIGINT) AS taken, s2.slot AS first_slot
+FROM p LEFT JOIN n ON p.k = n.k LEFT JOIN s2 ON s2.k = p.k AND p.size > 0 AND p.b < p.words AND s2.rank = ((p.b + 1) * n.n_slots - 1) // p.words""",
     "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS s FROM documents),
 h AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS a, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
 c AS (SELECT *, CAST(len(a) AS BIGINT) AS n, least(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS lo, greatest(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS hi,
