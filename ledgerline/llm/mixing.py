@@ -163,25 +163,42 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     return out.select("doc_id", "source", "shuffle", "begin", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
+def takes(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """mix_key, copies (rows with that key), copy (which of them), slot and words: each time that a row is taken, the slot
+    in which it begins and the words it gives, all of them but for the last time. rows and plan as ``planned`` gives them."""
+    equal = Window.partitionBy("shuffle")
+    rows = rows.where("size > 0 and n_slots > 0").withColumn("copy", F.row_number().over(equal.orderBy("begin"))).withColumn("copies", F.count("*").over(equal))
+    begins = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(words - 1) div source_size")), lambda n: F.col("begin") + n * F.col("source_size"))
+    each = rows.withColumn("from", F.explode(begins)).where("from < words").withColumn("rank", F.expr("((from + 1) * n_slots - 1) div words"))
+    given = F.least("size", F.col("words") - F.col("from"))
+    each = each.select("key", "rank", F.col("shuffle").alias("mix_key"), "copies", "copy", "size", given.alias("given"))
+    return each.join(plan.select("key", "rank", "slot"), ["key", "rank"]).select("mix_key", "copies", "copy", "slot", "size", F.col("given").alias("words"))
+
+
+HELD = 64  # equal rows whose takes travel as one array
+
+
 def mixed_corpus(docs: DataFrame, seed: int = 0, slots: int = SLOTS, **options) -> DataFrame:
     """The documents as the mix takes them, in the order of the schedule: a row for each time, with the first words (one
     space between) where the target ends inside the document. Documents that aren't taken go. Columns are kept. Each of
     several equal rows is taken for itself: they stand one after the other in their source's stream.
 
     Every partition is a stretch of the schedule and sorted by the slots in which its rows begin. So whoever writes the
-    rows, or reads on in each partition, meets the sources as evenly as the schedule deals them out.
+    rows, or reads on in each partition, meets the sources as evenly as the schedule deals them out. Texts move twice:
+    to their takes, and to their stretch.
     """
-    rows, plan = planned(docs, seed=seed, slots=slots, **options)
-    least = {"at": "begin", "size": "size", "source": "key", "all": "source_size", "words": "words", "slots": "n_slots"}
-    groups = rows.where("size > 0 and n_slots > 0").groupBy(F.col("shuffle").alias("mix_key")).agg(*(F.min(c).alias(f"mix_{name}") for name, c in least.items()))
-    taken = docs.withColumn("mix_key", shuffle_of(seed)).join(groups, "mix_key")
-    taken = taken.withColumn("mix_copy", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")) - 1)
-    begins = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(mix_words - 1) div mix_all")), lambda n: F.col("mix_at") + F.col("mix_copy") * F.col("mix_size") + n * F.col("mix_all"))
-    taken = taken.withColumn("mix_from", F.explode(begins)).where("mix_from < mix_words").withColumn("mix_rank", F.expr("((mix_from + 1) * mix_slots - 1) div mix_words"))
-    taken = taken.join(plan.select(F.col("key").alias("mix_source"), F.col("rank").alias("mix_rank"), F.col("slot").alias("mix_slot")), ["mix_source", "mix_rank"])
-    left = F.col("mix_words") - F.col("mix_from")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    taken = taken.withColumn("text", F.when(left < F.col("mix_size"), first_words).otherwise(F.col("text")))
+    found = materialise(takes(*planned(docs, seed=seed, slots=slots, **options)), "takes")
+    keyed = docs.withColumn("mix_key", shuffle_of(seed))
+    copy = F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")).alias("mix_copy")
+    few = found.where(F.col("copies") <= HELD).groupBy("mix_key").agg(F.collect_list(F.struct("copy", "slot", "size", "words")).alias("mix_takes"))
+    held = keyed.join(few, "mix_key").select("*", copy)
+    taken = held.withColumn("mix", F.explode(F.filter("mix_takes", lambda t: t["copy"] == F.col("mix_copy")))).drop("mix_takes")
+    many = found.where(F.col("copies") > HELD).select("mix_key", F.col("copy").alias("mix_copy"), F.struct("copy", "slot", "size", "words").alias("mix"))
+    if not many.isEmpty():  # so many equal rows each meet their own takes only
+        held = keyed.join(many.select("mix_key").distinct(), "mix_key").select("*", copy)
+        taken = taken.unionByName(held.join(many, ["mix_key", "mix_copy"]))
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix.words").cast("int")), " ")
+    taken = taken.withColumn("text", F.when(F.col("mix.words") < F.col("mix.size"), first_words).otherwise(F.col("text"))).withColumn("mix_slot", F.col("mix.slot")).drop("mix")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # as many slots for each partition; there are ``slots`` and a few more for each source, which the last one takes
     stretch = F.least(F.expr(f"mix_slot * {tasks} div {slots}"), F.lit(tasks - 1)).cast("int")
