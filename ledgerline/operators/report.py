@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_paragraph, slug
@@ -20,6 +20,38 @@ def joined(value: Column, order: Sequence[Column], separator: str = "\n") -> Col
     return F.array_join(F.transform(ordered, lambda x: x.v), separator)
 
 
+# What stands between the pieces of a section and after a section that was cut.
+NEXT_PIECE, CUT = "\n\n--- 다음 본문 조각 ---\n\n", "\n... [잘림]"
+
+
+def joined_sections(pieces: DataFrame, key: str = "doc_id", order: str = "path", most: int = 8000) -> DataFrame:
+    """Each key's sections (key, section_key, order, text) from all files: key, section_key and text, the pieces in order,
+    cut at ``most`` characters with a mark. Empty and null pieces are left out; those that begin after the cut never
+    meet the others, so that a text is no longer than it may be, but for its last piece."""
+    held = pieces.where(F.coalesce("text", F.lit("")) != "")
+    before = Window.partitionBy(key, "section_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.char_length("text") + len(NEXT_PIECE)).over(before), F.lit(0))
+    near = held.withColumn("begin", begin).where(F.col("begin") <= most + len(NEXT_PIECE)).withColumn("text", F.left("text", F.lit(most + 1)))
+    whole = near.groupBy(key, "section_key").agg(joined(F.col("text"), [F.col("begin")], NEXT_PIECE).alias("text"))
+    return whole.withColumn("text", F.when(F.char_length("text") > most, F.concat(F.left("text", F.lit(most)), F.lit(CUT))).otherwise(F.col("text")))
+
+
+# How a text begins that stands for a failed answer.
+NOTE_FAILED, INDUSTRY_FAILED = "(LLM 호출 실패", "(LLM"
+
+
+def valid_note(observation: Column) -> Column:
+    """Whether a daily note has an observation to publish."""
+    text = F.coalesce(observation, F.lit(""))
+    return (text != "") & ~F.startswith(text, F.lit(NOTE_FAILED))
+
+
+def valid_industry_note(summary: Column, factors: Column) -> Column:
+    """Whether an industry note has a summary and two factors that tell the companies apart."""
+    text = F.coalesce(summary, F.lit(""))
+    return (text != "") & ~F.startswith(text, F.lit(INDUSTRY_FAILED)) & (F.coalesce(F.size(factors), F.lit(0)) >= 2)
+
+
 def assembled(reports: DataFrame, texts: DataFrame, key: str = "doc_id", sections: Sequence[str] = SECTIONS) -> DataFrame:
     """Each report (key) with its sections (key, section_id, text) in fixed order: contents with each one's first
     paragraph, then the bodies; a placeholder stands for a missing one. key, report, present."""
@@ -62,6 +94,15 @@ def trigger_report(day: str, hits: DataFrame, top: DataFrame) -> DataFrame:
     return rows.crossJoin(best).select(F.to_json(F.struct(F.lit(day).alias("fetch_date"), (F.size("hits") > 0).alias("should_publish"), "tickers", "top", "hits")).alias("report"))
 
 
+def trigger_report_lines(day: str, hits: DataFrame, top: DataFrame) -> DataFrame:
+    """The same report as JSON lines, for any number of hits: ord 0 holds the day, whether to publish, the number of tickers
+    and the top ones, each other line the hit whose rank is its ord. Written in ranges of ord, it is a file in order."""
+    best = top.agg(F.collect_list(F.struct("ticker", "total_score")).alias("top"))
+    head = hits.agg(F.count_distinct("ticker").alias("tickers"), (F.count("*") > 0).alias("should_publish")).crossJoin(best)
+    first = head.select(F.lit(0).cast("long").alias("ord"), F.to_json(F.struct(F.lit(day).alias("fetch_date"), "should_publish", "tickers", "top")).alias("line"))
+    return first.unionByName(hits.select(F.col("rank").cast("long").alias("ord"), F.to_json(F.struct("rank", "ticker", "trigger_type", "severity", "score")).alias("line")))
+
+
 def provenance(*stamps: Column) -> Column:
     return F.concat_ws("\n", F.lit("> **데이터 기준시점**"), *(F.concat(F.lit("> - "), s) for s in stamps))
 

@@ -210,12 +210,13 @@ def chosen_attempt(attempts: DataFrame, key: str = "section") -> DataFrame:
     return attempts.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth").withColumn("best_effort", ~F.col("passed"))
 
 
-def sections_of(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", window: int = 12000) -> DataFrame:
-    """Each text's sections by the first of their aliases that it holds: key, section_key, alias, body. Aliases are a
-    short list, which adaptive execution broadcasts."""
+def sections_of(texts: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = rules.SECTION_ALIASES, key: str = "doc_id", window: int = 12000) -> DataFrame:
+    """Each text's sections by the first of their aliases (section, aliases in order) that it holds: key, section_key,
+    alias, body. Found and cut inside the text's own row."""
     from ..functions.text import section_slice
 
-    held = texts.join(aliases, F.contains(F.col("text"), F.col("alias")))
-    first = Window.partitionBy(key, "section_key").orderBy("alias_ord")
-    out = held.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return out.select(key, "section_key", "alias", section_slice(F.col("text"), F.col("alias"), window).alias("body"))
+    first = {f"alias_{i}": F.coalesce(*(F.when(F.contains("text", F.lit(alias)), F.lit(alias)) for alias in names)) for i, (_, names) in enumerate(aliases)}
+    held = texts.select(key, "text", *(c.alias(name) for name, c in first.items()))
+    section = lambda name, at: F.when(F.col(at).isNotNull(), F.struct(F.lit(name).alias("section_key"), F.col(at).alias("alias"), section_slice(F.col("text"), F.col(at), window).alias("body")))
+    found = F.array_compact(F.array(*(section(name, f"alias_{i}") for i, (name, _) in enumerate(aliases))))
+    return held.select(key, F.explode(found).alias("section")).select(key, "section.*")

@@ -9,10 +9,10 @@ from ..operators import facts as ops
 from .registry import query
 from .tables import read
 
-# Facts: the value of each line; claims: the first line of each order, off by up to some percent, or by a power of ten.
+# Facts: the value of each line; claims: the lines again, off by up to some percent, or by a power of ten.
 SQL_FACTS = """facts AS (SELECT l_orderkey AS scope, l_extendedprice AS fact FROM lineitem),
-claims AS (SELECT l_orderkey AS claim_id, l_orderkey AS scope, l_extendedprice * CASE l_orderkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 1.005 WHEN 2 THEN -1.02 WHEN 3 THEN 10.05 WHEN 4 THEN 0.1 ELSE 1.4 END AS claim, l_orderkey % 13 = 0 AS is_in_inference
-  FROM lineitem WHERE l_linenumber = 1)"""
+claims AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, l_orderkey AS scope, l_extendedprice * CASE l_orderkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 1.005 WHEN 2 THEN -1.02 WHEN 3 THEN 10.05 WHEN 4 THEN 0.1 ELSE 1.4 END AS claim, l_orderkey % 13 = 0 AS is_in_inference
+  FROM lineitem)"""
 
 
 def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +20,7 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     k = F.col("l_orderkey") % 6
     factor = F.when(k == 0, 1.0).when(k == 1, 1.005).when(k == 2, -1.02).when(k == 3, 10.05).when(k == 4, 0.1).otherwise(1.4)
     facts = line.select(F.col("l_orderkey").alias("scope"), F.col("l_extendedprice").alias("fact"))
-    claims = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("claim_id"), F.col("l_orderkey").alias("scope"), (F.col("l_extendedprice") * factor).alias("claim"), (F.col("l_orderkey") % 13 == 0).alias("is_in_inference"))
+    claims = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("scope"), (F.col("l_extendedprice") * factor).alias("claim"), (F.col("l_orderkey") % 13 == 0).alias("is_in_inference"))
     return claims, facts
 
 
@@ -59,11 +59,11 @@ def fact_label_suffix_join(spark, sf_dir):
     return ops.label_concepts(part.select(F.concat(F.lit("ifrs-full:"), "local").alias("concept")), labels)
 
 
-@query("""WITH f AS (SELECT p_brand AS concept, count(*) AS n FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 12) GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+@query("""WITH f AS (SELECT p_brand AS concept, count(*) AS n FROM part GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY concept ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT concept, n FROM b WHERE before < 200""")
 def core_timeseries_softcap(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    core = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").limit(12).collect()]  # the list of twelve
+    core = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]  # a short list of names
     facts = part.select(F.col("p_brand").alias("concept"), F.lit("2025-12-31").alias("period_end"), F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("value"))
     return ops.core_timeseries(facts, core).select("concept", "n")
 

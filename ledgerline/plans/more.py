@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import calendar_days, friendly_period
+from ..functions.dates import friendly_period
 from ..functions.numbers import fact_decimals, lenient_int, lenient_pct, to_int
 from ..operators import facts as fact_ops
 from ..operators import filings as filing_ops
@@ -129,10 +129,10 @@ def lenient_numbers(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", lenient_int(raw).alias("as_int"), lenient_pct(raw).alias("as_pct"), fact_decimals(raw).alias("as_decimals"))
 
 
-@query("SELECT c_nationkey AS ticker, string_agg(c_name || ': ' || CAST(c_custkey AS VARCHAR), chr(10) ORDER BY c_custkey) AS feedback FROM customer GROUP BY 1")
+@query("SELECT o_custkey AS customer, string_agg(o_orderpriority || ': ' || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey) AS feedback FROM orders GROUP BY 1")
 def feedback_text(spark, sf_dir):
-    line = F.concat("c_name", F.lit(": "), F.col("c_custkey").cast("string"))
-    return read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("ticker")).agg(report.joined(line, [F.col("c_custkey")]).alias("feedback"))
+    line = F.concat("o_orderpriority", F.lit(": "), F.col("o_orderkey").cast("string"))
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(report.joined(line, [F.col("o_orderkey")]).alias("feedback"))
 
 
 _SYMBOLS = ", ".join(f"({i}, '{label}', '{symbol}')" for i, (label, symbol) in enumerate(INDICATORS))
@@ -142,9 +142,3 @@ _SYMBOLS = ", ".join(f"({i}, '{label}', '{symbol}')" for i, (label, symbol) in e
 def indicator_prices(spark, sf_dir):
     dim = spark.createDataFrame([(i, *x) for i, x in enumerate(INDICATORS)], "ticker int, label string, symbol string")
     return series.latest(bars(spark, sf_dir).join(F.broadcast(dim), "ticker")).select("label", "symbol", F.col("close").alias("latest"))
-
-
-@query("SELECT '{\"a\":1,\"c\":\"x\"}' AS envelope, 'key=***' AS redacted, 21 AS days")
-def envelopes(spark, sf_dir):
-    row = spark.createDataFrame([(1, None, "x", "key=abc")], "a int, b int, c string, t string")
-    return row.select(report.envelope(a=F.col("a"), b=F.col("b"), c=F.col("c")).alias("envelope"), report.redacted(F.col("t"), F.lit("abc")).alias("redacted"), F.lit(calendar_days(10)).alias("days"))

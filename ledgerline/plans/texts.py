@@ -9,7 +9,7 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators import holdings, report, validate
 from ..operators.ranking import budgets
-from ..rules import FOREIGN_NAMES, SECRETS, SECTION_ALIASES, alias_frame, authority_frame
+from ..rules import FOREIGN_NAMES, SECRETS, SECTION_ALIASES, authority_frame
 from ..sources.markup import with_markup_text
 from .registry import query
 from .tables import read
@@ -72,7 +72,7 @@ def section_slice(spark, sf_dir):
 h AS (SELECT page_id, section_key, alias, t, row_number() OVER (PARTITION BY page_id, section_key ORDER BY alias_ord) AS nth FROM sectioned JOIN a ON contains(t, alias))
 SELECT page_id, section_key, alias, md5({SQL_BODY.format("alias")}) AS body_md5 FROM h WHERE nth = 1""")
 def first_alias_match(spark, sf_dir):
-    aliases = spark.createDataFrame(list(ALIASES), "section_key string, alias_ord int, alias string")
+    aliases = [(section, [alias for s, _, alias in ALIASES if s == section]) for section in ("A", "B")]
     found = validate.sections_of(_sectioned(spark, sf_dir), aliases, "page_id")
     return found.select("page_id", "section_key", "alias", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
@@ -86,11 +86,9 @@ N_ALIASES = sum(len(aliases) for _, aliases in SECTION_ALIASES)
 h AS (SELECT page_id, section_key, alias, t, row_number() OVER (PARTITION BY page_id, section_key ORDER BY alias_ord) AS nth FROM t JOIN a ON contains(t, alias))
 SELECT page_id, section_key, alias, md5({SQL_BODY.format("alias")}) AS body_md5 FROM h WHERE nth = 1""")
 def report_sections(spark, sf_dir):
-    aliases = alias_frame(spark)
-    order = aliases.orderBy("section_ord", "alias_ord").select("alias").collect()  # the fixed list of the reports
-    header = F.get(F.array(*(F.lit(r.alias) for r in order)), (F.col("page_id") % N_ALIASES).cast("int"))
+    header = F.get(F.array(*(F.lit(alias) for _, aliases in SECTION_ALIASES for alias in aliases)), (F.col("page_id") % N_ALIASES).cast("int"))
     texts = read(spark, sf_dir, "pages").select("page_id", F.concat(header, F.lit("\n"), "html").alias("text"))
-    return validate.sections_of(texts, aliases, "page_id").select("page_id", "section_key", "alias", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return validate.sections_of(texts, key="page_id").select("page_id", "section_key", "alias", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 SQL_MARKDOWN = f"""{SQL_LINES}, md AS (SELECT doc_id, line_no, CASE line_no % 7 WHEN 1 THEN '## ' || left(line, 30) || ' #' WHEN 2 THEN '```' WHEN 4 THEN '```' WHEN 3 THEN '### inside' ELSE '### ' || left(line, 12) END AS line FROM doc_lines),
@@ -185,32 +183,9 @@ def secret_scan_all(spark, sf_dir):
     return validate.secrets(doc_lines(spark, sf_dir)).select("doc_id", "line_no", "label", "nth")
 
 
-# Texts about amounts; the tables have none, so the rows are these.
-AMOUNTS = (
-    (1, "매출 333.61조원\n영업이익 43.6조, DS 25조"),
-    (2, "DS 적자 △1.5조원\n자사주 매입 1,234억원 그리고 11.3억"),
-    (3, "1.5조 *(추론 — 어림)*\n시가총액 1,204.1조원 (KRX 종가)"),
-    (4, "시총(약 80조원대) 대비 FCF 33.4조\n시가총액 1,204.12조원"),
-    (5, "연결 매출 97조 1,467억원\n1Q26 영업이익 6.97조원"),
-)
-SQL_AMOUNTS = "amounts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}')" for i, t in AMOUNTS) + ") AS v(doc_id, text))"
 FACTS = {"market_cap": 1.2041e15, "revenue": 9.7146675e13, "interim_q_operating_income": 3.761e13}
 
 
-def _amount_lines(spark):
-    return tx.lines(spark.createDataFrame(list(AMOUNTS), "doc_id int, text string"))
-
-
-@query(f"""WITH {SQL_AMOUNTS}, l AS (SELECT doc_id, unnest(range(1, 3)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM amounts),
-k AS (SELECT *, regexp_extract_all(line, '([+-]?[△▲▼]?\\s*[\\d,]+\\.?\\d*)\\s*(조|억)', 1) AS a, regexp_extract_all(line, '([+-]?[△▲▼]?\\s*[\\d,]+\\.?\\d*)\\s*(조|억)', 2) AS u FROM l
-  WHERE NOT (contains(line, '시총') OR contains(line, '시가총액') OR contains(line, 'KRX') OR contains(line, '1Q26'))),
-x AS (SELECT doc_id, line_no, contains(line, '추론') AS is_in_inference, unnest(a) AS a, unnest(u) AS u FROM k),
-y AS (SELECT *, CASE WHEN contains(a, '△') THEN -1 ELSE 1 END * CAST(replace(replace(trim(a), '△', ''), ',', '') AS DOUBLE) * CASE u WHEN '조' THEN 1e12 ELSE 1e8 END AS claim FROM x)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, claim, is_in_inference FROM y WHERE abs(claim) >= 1e10""")
-def numeric_claims(spark, sf_dir):
-    return validate.numeric_claims(_amount_lines(spark)).select("doc_id", "line_no", "claim", "is_in_inference")
-
-
 # Each order as a text that cites two facts, off by how much its key says.
 SQL_CITED = "cited AS (SELECT o_orderkey AS doc_id, CAST(CAST(1000 + o_orderkey % 400 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) AS DOUBLE) * 1e12 AS cap, CAST(CAST(o_orderkey % 90 AS VARCHAR) || '.5' AS DOUBLE) * 1e12 AS income FROM orders)"
 

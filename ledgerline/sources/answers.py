@@ -34,6 +34,19 @@ def items(found: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return good.select(*keep, "page_no", "nth", *fields), found.where("reason is not null").select(*keep, "reason")
 
 
+CONSOLIDATED, SEPARATE = "CFS", "OFS"
+
+
+def statements(docs: DataFrame, fs_div: str = CONSOLIDATED, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The accounts of the answers about consolidated (CFS) or separate (OFS) statements, of requests with their fs_div: the
+    other columns of docs, page_no, nth and the items' fields; and the requests that have none, with the reason. A
+    refused request has no accounts; it isn't made up for by the other kind."""
+    if fs_div not in (CONSOLIDATED, SEPARATE):
+        raise ValueError(f"fs_div is {CONSOLIDATED} or {SEPARATE}, not {fs_div}")
+    keep = [c for c in docs.columns if c not in (column, "fs_div")]
+    return items(answers(docs.where(F.col("fs_div") == fs_div).drop("fs_div"), STATEMENT, column), *keep)
+
+
 def holder_columns() -> list[Column]:
     """An item of HOLDER as ``operators.holdings`` takes it: holder and holding_pct (null if it isn't a number)."""
     return [F.col("repror").alias("holder"), F.col("stkrt").try_cast("double").alias("holding_pct"), "rcept_dt"]

@@ -46,9 +46,9 @@ def last_codes(rows: DataFrame) -> DataFrame:
 HEALTH = "timer string, last_run timestamp, status string, details map<string,string>"
 
 
-def health(spark: SparkSession, path: str) -> DataFrame:
-    """Health files; files that don't parse are left out."""
-    rows = spark.read.schema(HEALTH + ", _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE")
+def health(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Health files, one object each (or one on each line); what doesn't parse is left out."""
+    rows = spark.read.schema(HEALTH + ", _corrupt_record string").json(path, multiLine=multi_line, mode="PERMISSIVE")
     return rows.where("_corrupt_record is null and timer is not null").drop("_corrupt_record")
 
 

@@ -130,3 +130,37 @@ def test_rules_as_tables(spark):
         raise AssertionError
     hits = spark.createDataFrame([("a", 1), ("b", 2)], "ticker string, rank int")
     assert [r.rank for r in triggers.hits_for_ticker(hits, "b").collect()] == [2]
+
+
+def test_statements(spark):
+    import pytest
+
+    item = '{"status": "000", "list": [{"account_id": "a", "thstrm_amount": "1"}, {"account_id": "b"}]}'
+    rows = [("c", "CFS", item), ("c", "OFS", item.replace('"a"', '"z"')), ("d", "CFS", '{"status": "013", "message": "none"}'), ("d", "OFS", item), ("e", "CFS", None)]
+    docs = spark.createDataFrame(rows, "corp string, fs_div string, text string")
+    found, refused = answers.statements(docs)
+    assert sorted((r.corp, r.nth, r.account_id) for r in found.collect()) == [("c", 0, "a"), ("c", 1, "b")]
+    assert sorted((r.corp, r.reason) for r in refused.collect()) == [("d", "013 none"), ("e", "no JSON")]
+    assert {(r.corp, r.account_id) for r in answers.statements(docs, "OFS")[0].collect()} == {("c", "z"), ("c", "b"), ("d", "a"), ("d", "b")}
+    with pytest.raises(ValueError):
+        answers.statements(docs, "X")
+
+
+def test_sections_of_a_text(spark):
+    aliases = [("one", ("Alpha", "Beta")), ("two", ("Gamma",)), ("three", ("none",))]
+    docs = spark.createDataFrame([(1, "x Beta b\nII. next\nGamma g Alpha a"), (2, None), (3, "nothing"), (1, "Beta")], "doc_id int, text string")
+    rows = sorted((r.doc_id, r.section_key, r.alias, r.body) for r in validate.sections_of(docs, aliases).collect())
+    assert rows == [(1, "one", "Alpha", "Alpha a"), (1, "one", "Beta", "Beta"), (1, "two", "Gamma", "Gamma g Alpha a")]
+    plan = validate.sections_of(docs, aliases)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_joined_sections(spark):
+    from ledgerline.operators import report
+
+    rows = [(1, "a", "f2", "second"), (1, "a", "f1", "first"), (1, "a", "f3", None), (1, "b", "f1", "x" * 50), (1, "b", "f2", "never seen"), (2, "a", "f1", ""), (None, "a", "f1", "y" * 10)]
+    frame = spark.createDataFrame(rows, "doc_id int, section_key string, path string, text string")
+    found = {(r.doc_id, r.section_key): r.text for r in report.joined_sections(frame, most=45).collect()}
+    assert found == {(1, "a"): "first\n\n--- 다음 본문 조각 ---\n\nsecond", (1, "b"): "x" * 45 + "\n... [잘림]", (None, "a"): "y" * 10}
+    cut = {(r.doc_id, r.section_key): r.text for r in report.joined_sections(frame, most=7).collect()}
+    assert cut[1, "a"] == "first\n\n\n... [잘림]"
