@@ -21,18 +21,27 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 
 # The words of which the labelled table's hosts are made; common vocabulary of unwanted and of plain sites.
 BLOCKED_WORDS = (
-    "casino", "poker", "betting", "jackpot", "lottery", "bonus", "loan", "payday", "replica", "slimming", "detox", "dating", "adult", "webcam", "torrent", "keygen",
-    "popup", "clicks", "backlinks", "tracker", "miner", "prize", "giveaway", "coupon", "cash", "profit", "forex", "miracle", "xxx", "warez", "banners", "leads",
+    "casino", "poker", "betting", "bets", "jackpot", "lottery", "slots", "roulette", "bingo", "wager", "gamble", "odds",
+    "pills", "pharmacy", "meds", "viagra", "cialis", "slimming", "detox", "steroid", "supplement", "miracle", "diet", "cure",
+    "loan", "payday", "credit", "cash", "profit", "forex", "crypto", "miner", "invest", "income", "rich", "earn",
+    "adult", "webcam", "dating", "escort", "xxx", "porn", "sexy", "hookup", "nude", "singles", "erotic", "camgirl",
+    "spam", "ads", "adserver", "popup", "popunder", "banners", "clicks", "tracker", "tracking", "affiliate", "redirect", "backlinks", "traffic", "leads",
+    "replica", "cheap", "discount", "bargain", "deals", "coupon", "outlet", "wholesale", "prize", "giveaway", "bonus", "free", "winner", "promo",
+    "torrent", "warez", "keygen", "crack", "serial", "nulled", "hack", "cheats", "pirate", "malware", "phish", "botnet", "proxy", "leaked",
 )
 PLAIN_WORDS = (
     "city", "library", "garden", "school", "river", "music", "open", "docs", "daily", "report", "travel", "history", "science", "forum", "kitchen", "weather",
     "museum", "sports", "health", "archive", "council", "theatre", "village", "recipes", "letters", "botany", "railway", "poetry", "harbour", "research", "maths", "craft",
+    "farm", "bread", "mountain", "church", "college", "hospital", "union", "journal", "review", "radio", "cinema", "gallery", "studio", "orchestra", "choir", "dance",
+    "chess", "cycling", "rowing", "hiking", "football", "tennis", "skating", "running", "climbing", "sailing", "fishing", "gardening", "knitting", "pottery", "painting", "drawing",
+    "physics", "chemistry", "biology", "geology", "astronomy", "linguistics", "economics", "law", "medicine", "nursing", "farming", "forestry", "energy", "climate", "ocean", "water",
+    "software", "linux", "python", "database", "network", "robotics", "engineer", "teacher", "student", "parents", "children", "family", "wedding", "cooking", "coffee", "market",
 )
 PREFIXES = ("", "", "www.", "m.", "blog.", "news.")
 ENDINGS = (".com", ".org", ".net", ".info", ".co.uk", ".de", ".example.com", ".example.org")
 
 
-def labelled_urls(n: int = 1600, seed: int = 13) -> list[tuple[str, str, int]]:
+def labelled_urls(n: int = 4000, seed: int = 13) -> list[tuple[str, str, int]]:
     """The labelled table: host, path and 1 for block, made by a rule. Blocked hosts join words of unwanted sites, three
     of four by a hyphen, some with digits. Others are one plain word, two (one of six pairs by a hyphen), or an
     invented name of some syllables. Prefixes, endings and paths tell nothing."""

@@ -54,9 +54,9 @@ def test_whole_table_by_brute_force(spark, sf_dir):
 
 
 def test_hosts_of_unseen_words():
-    """Four folds over the words: hosts both of whose words the fit never saw. Measured: 0.76, 0.73, 0.78 and 0.83."""
+    """Four folds over the words: hosts both of whose words the fit never saw. Measured: 0.85, 0.81, 0.81 and 0.77."""
     urls, words = uf.labelled_urls(), uf.BLOCKED_WORDS + uf.PLAIN_WORDS
-    inside = lambda host: {w for w in words if w in re.sub(r"^(www|m|blog|news)\\.", "", host).split(".")[0]}
+    inside = lambda host: {w for w in words if w in re.sub(r"^(www|m|blog|news)\.", "", host).split(".")[0]}
     right = []
     for fold in range(4):
         unseen = set(uf.BLOCKED_WORDS[fold::4]) | set(uf.PLAIN_WORDS[fold::4])
