@@ -40,8 +40,8 @@ def manifest(spark: SparkSession, cache: Cache) -> DataFrame:
 
 
 def fresh(known: DataFrame, cache: Cache, as_of: datetime) -> DataFrame:
-    """The manifest's keys that may be served at ``as_of``."""
-    age = F.timestamp_diff("SECOND", F.col("fetched_at"), F.lit(as_of).cast("timestamp"))
+    """The manifest's keys that may be served at ``as_of``; ages are counted between whole seconds of the clock."""
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("fetched_at")
     return known.where((age < cache.ttl_hours * 3600) & (F.col("n_rows") >= cache.least_rows))
 
 
