@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from . import sinks
 from .answers import DONE, FILING
 from .folders import as_uri
 
@@ -190,7 +191,8 @@ def store_pages(filings: DataFrame, path: str, page_count: int = 100) -> None:
     item = F.struct("nth", F.struct(*ITEM).alias("item"))
     answers = rows.groupBy(*request, "page_no", "total_page").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("list"))
     text = F.to_json(F.struct(F.lit(DONE).alias("status"), "page_no", F.lit(page_count).alias("page_count"), "total_page", "list"))
-    answers.select(*request, "page_no", text.alias("value")).repartition(*request).write.partitionBy(*REQUEST).mode("errorifexists").text(path)
+    levels = (F.concat(F.lit(f"{level}="), F.coalesce(F.nullif(F.url_encode(F.col(level).cast("string")), F.lit("")), F.lit(NULL))) for level in REQUEST)
+    sinks.write_files(answers.select(F.concat_ws("/", *levels, F.lit("answer.json")).alias("name"), text.alias("text")), path)
 
 
 @dataclass

@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import datetime
+from functools import partial
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import as_uri
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    files, root = fs.FileSystem.from_uri(folder)
+    made = {root}
+    for batch in batches:
+        for name, text in zip(batch.column("name"), batch.column("text"), strict=True):
+            parent, _, last = f"{root}/{name.as_py()}".rpartition("/")
+            if parent not in made:
+                files.create_dir(parent, recursive=True)
+                made.add(parent)
+            begun = f"{parent}/.{last}-{uuid.uuid4().hex}"  # readers pass over names with a dot
+            with files.open_output_stream(begun) as file:
+                file.write((text.as_py() or "").encode())
+            files.move(begun, f"{parent}/{last}")
+    yield from ()
+
+
+def write_files(texts: DataFrame, path: str) -> None:
+    """Writes a file for each row (name, which may have folders in it, and text) into a new folder, from the tasks that have
+    the rows: there is no shuffle and no list of files on the driver. A file is seen whole or not at all, and a task that
+    runs again writes the same ones."""
+    folder = as_uri(path)
+    files, root = fs.FileSystem.from_uri(folder)
+    if files.get_file_info(root).type != fs.FileType.NotFound:
+        raise ValueError(f"{path} exists")
+    files.create_dir(root, recursive=True)
+    texts.select("name", "text").mapInArrow(partial(_write_files, folder=folder), "name string").write.format("noop").mode("overwrite").save()
+
 
 def write_snapshot(df: DataFrame, path: str, *partitions: str) -> None:
     """Parquet by company and period (or others); only the partitions that df has are replaced."""
