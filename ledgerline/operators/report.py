@@ -16,7 +16,7 @@ MISSING = "_(섹션 없음)_"
 
 def joined(value: Column, order: Sequence[Column], separator: str = "\n") -> Column:
     """An aggregate: the values in order, as one text."""
-    ordered = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v"))))  # compiled, unlike array_sort
     return F.array_join(F.transform(ordered, lambda x: x.v), separator)
 
 

@@ -11,7 +11,7 @@ from ..functions.text import lines
 from ..operators import products, report, triggers, validate
 from ..rules import authority_frame
 from ..sources import answers, markup, sinks, tables
-from ..sources.folders import shared_folder, write_once
+from ..sources.folders import dealt, shared_folder, write_once
 from . import market
 from .registry import query
 from .tables import bars, filings, flows, read, watchlist
@@ -136,7 +136,8 @@ def scraped_pages(spark, sf_dir):
     cells = [F.date_format("l_shipdate", "yyyy.MM.dd"), F.format_number(part % 90000, 0), F.lit("x"), F.lit("+1.5%"), F.format_number("l_suppkey", 0), F.lit("0"), shares, F.lit("500"), F.lit("49.40%")]
     row = F.when(part % 5 == 4, F.lit("<td>short</td>")).otherwise(F.concat(*(F.concat(F.lit("<td> "), c, F.lit(" </td>")) for c in cells)))
     html = F.concat(F.lit('<table><tr><td>no</td></tr></table><table class="type2 x"><tr>'), row, F.lit("</tr></table>"))
-    pages = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ticker"), F.col("l_linenumber").alias("page"), html.alias("html"))
+    items = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_returnflag"))
+    pages = items.select(F.col("l_orderkey").cast("string").alias("ticker"), F.col("l_linenumber").alias("page"), html.alias("html"))
     found = markup.scraped_flows(pages)
     return found.select(F.col("ticker").cast("long").alias("ticker"), "page", "dt", F.col("close").cast("long").alias("close"), F.col("volume").cast("long").alias("volume"), F.col("net_krw").cast("long").alias("net_krw"))
 
@@ -145,9 +146,9 @@ def _in_files(texts: DataFrame, name: str) -> tuple[str, DataFrame]:
     """Writes a file for each row (key, text) and reads all back whole: key and text."""
     spark = texts.sparkSession
     folder = shared_folder(spark, name)
-    texts.repartition("key").write.partitionBy("key").text(folder)
-    found = tables.whole_texts(spark, f"{folder}/*/*")
-    return folder, found.withColumn("key", F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long"))
+    sinks.write_files(texts.select(F.concat(F.col("key").cast("string"), F.lit(".md")).alias("name"), "text"), folder)
+    found = tables.whole_texts(spark, folder)
+    return folder, found.withColumn("key", F.regexp_extract("path", "/([0-9]+)[.]md$", 1).cast("long"))
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,9 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as shuffles have, by keys if any: rows that are few or small, but of which each makes long
+    work. Adaptive execution doesn't join these tasks for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
