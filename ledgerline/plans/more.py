@@ -14,6 +14,7 @@ from ..operators import flows as flow_ops
 from ..operators import report, series
 from ..rules import CONSOLIDATED_AXIS, INDICATORS
 from ..sources import markup, tables
+from ..sources.folders import dealt
 from .registry import query
 from .tables import SQL_BARS, SQL_WATCHLIST, bars, read, watchlist
 
@@ -24,7 +25,7 @@ _HEAD = '<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:ifrs=
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'ifrs-full:Equity', CAST(p_partkey AS DOUBLE), '?', NULL, NULL FROM part""")
 def xbrl_scan(spark, sf_dir):
     body = F.format_string(_HEAD + '<ifrs:Assets contextRef="c" decimals="-6"> %d </ifrs:Assets><ifrs:Equity contextRef="lost" decimals="INF">%d</ifrs:Equity><ifrs:Name contextRef="c">text</ifrs:Name></xbrli:xbrl>', "p_size", "p_partkey")
-    files = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), body.cast("binary").alias("content"))
+    files = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").cast("string").alias("path"), body.cast("binary").alias("content"))
     return markup.xbrl_facts(markup.xbrl_elements(files)).select("path", "concept", "value", "period_type", "period_end", "decimals")
 
 

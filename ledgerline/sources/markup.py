@@ -7,8 +7,8 @@ import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from itertools import islice
+from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -172,11 +172,10 @@ BATCH_ROWS = 10_000
 def _xbrl(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     members = pa.list_(pa.struct([("axis", pa.string()), ("member", pa.string())]))
     fields = [(c.split(" ")[0], pa.int64() if c.endswith("long") else members if c.startswith("dimensions") else pa.string()) for c in re.split(r", (?![^<]*>)", KINDS)]
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows = _xbrl_rows(batch.column("path")[k].as_py(), batch.column("content")[k].as_py())
-            while some := list(islice(rows, BATCH_ROWS)):
-                yield pa.RecordBatch.from_pylist(some, pa.schema(fields))
+    files = ((p.as_py(), c.as_py()) for batch in batches for p, c in zip(batch.column("path"), batch.column("content"), strict=True))
+    rows = (row for path, content in files for row in _xbrl_rows(path, content))
+    while some := list(islice(rows, BATCH_ROWS)):  # of many small files or a part of a large one
+        yield pa.RecordBatch.from_pylist(some, pa.schema(fields))
 
 
 def xbrl_elements(files: DataFrame) -> DataFrame:
@@ -185,19 +184,21 @@ def xbrl_elements(files: DataFrame) -> DataFrame:
 
 
 def xbrl_facts(elements: DataFrame) -> DataFrame:
-    """Numeric facts with their contexts; other texts are left out."""
+    """Numeric facts with their contexts; other texts are left out. A fact's context is its file's first one of that id by
+    the period's end; files are parsed once, facts and contexts meet in one shuffle."""
     from ..functions.numbers import fact_decimals
-    from ..operators.facts import with_contexts
 
-    contexts = elements.where("kind = 'context'").select("path", F.col("id").alias("context_id"), "period_type", "period_start", "period_end", "dimensions")
-    last = Window.partitionBy("path", "context_id").orderBy("period_end")
-    contexts = contexts.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+    held = elements.where("kind in ('context', 'fact')").withColumn("context_id", F.when(F.col("kind") == "context", F.col("id")).otherwise(F.col("ref")))
+    context = F.when(F.col("kind") == "context", F.struct("period_type", "period_start", "period_end", "dimensions"))
+    first = Window.partitionBy("path", "context_id").orderBy(F.col("kind") != "context", "period_end").rowsBetween(Window.unboundedPreceding, 0)
+    facts = held.withColumn("context", F.first(context).over(first)).where("kind = 'fact' and value is not null")
     number = F.when(F.col("value").rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.col("value").try_cast("double"))
-    facts = elements.where("kind = 'fact'").select("path", "ord", F.col("name").alias("concept"), number.alias("value"), F.col("value").alias("raw_value"), F.col("ref").alias("context_id"), F.col("unit").alias("unit_id"), fact_decimals(F.col("decimals")).alias("decimals"))
-    inside = F.struct("path", "context_id").alias("context_id")
-    facts = facts.where("value is not null").withColumn("context_id", inside)
-    out = with_contexts(facts, contexts.select(inside, "period_type", "period_start", "period_end", "dimensions"))
-    return out.withColumn("context_id", F.col("context_id.context_id"))
+    none = F.array().cast("array<struct<axis:string,member:string>>")
+    out = facts.select(
+        "context_id", "path", "ord", F.col("name").alias("concept"), number.alias("value"), F.col("value").alias("raw_value"), F.col("unit").alias("unit_id"), fact_decimals(F.col("decimals")).alias("decimals"),
+        F.coalesce("context.period_type", F.lit("?")).alias("period_type"), "context.period_start", "context.period_end", F.coalesce("context.dimensions", none).alias("dimensions"),
+    )
+    return out.where("value is not null")
 
 
 def xbrl_labels(elements: DataFrame) -> DataFrame:
@@ -212,36 +213,43 @@ def xbrl_labels(elements: DataFrame) -> DataFrame:
     return labels_of(locators, arcs, labels)
 
 
-def _cells(page: str) -> list[list[str]]:
-    """The cells of the rows of tables of class type2."""
-    rows: list[list[str]] = []
-
-    class Rows(HTMLParser):
-        depth = 0
-        cell = False
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
-        def handle_starttag(self, tag, attrs):
-            if tag == "table":
-                self.depth = self.depth + 1 if self.depth or "type2" in (dict(attrs).get("class") or "").split() else 0
-            elif self.depth and tag == "tr":
-                rows.append([])
-            elif self.depth and tag == "td" and rows:
-                rows[-1].append("")
-                self.cell = True
 
-        def handle_endtag(self, tag):
-            if tag == "table":
-                self.depth = max(0, self.depth - 1)
-            elif tag == "td":
-                self.cell = False
+@lru_cache(4096)
+def _of_type2(tag: str) -> bool:
+    """Whether a tag's text has the class type2."""
+    classes = [next((v for v in m.groups()[1:] if v is not None), "") for m in islice(ATTRIBUTE.finditer(tag[1:]), 1, None) if m[1].lower() == "class"]
+    return bool(classes) and "type2" in html.unescape(classes[-1]).split()
 
-        def handle_data(self, data):
-            if self.depth and self.cell and rows and rows[-1]:
-                rows[-1][-1] += data.strip()
 
-    parser = Rows()
-    parser.feed(page)
-    parser.close()
+def _cells(page: str) -> list[list[str]]:
+    """The cells of the rows of tables of class type2: the pieces of text between a cell's marks, each without white space at
+    its ends."""
+    rows: list[list[str]] = []
+    depth, cell, at = 0, False, 0
+    for mark in chain(MARK.finditer(page), (None,)):
+        if depth and cell and rows and rows[-1]:
+            rows[-1][-1] += html.unescape(page[at : mark.start() if mark else len(page)]).strip()
+            if mark and mark["raw"]:
+                rows[-1][-1] += mark["raw"].strip()
+        if not mark:
+            return rows
+        at, tag = mark.end(), (mark["tag"] or "").lower()
+        closed = mark["end"] or page[at - 2] == "/"
+        if tag == "table":
+            if not mark["end"]:
+                depth = depth + 1 if depth or _of_type2(mark[0]) else 0
+            if closed:
+                depth = max(0, depth - 1)
+        elif tag == "tr" and depth and not mark["end"]:
+            rows.append([])
+        elif tag == "td":
+            if depth and rows and not mark["end"]:
+                rows[-1].append("")
+                cell = True
+            if closed:
+                cell = False
     return rows
 
 
