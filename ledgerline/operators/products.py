@@ -81,8 +81,9 @@ def checked_attempts(attempts: DataFrame, facts: DataFrame, authority: DataFrame
     rows = lines(docs)
     claims = validate.numeric_claims(rows).withColumn("claim_id", F.struct("doc_id", "line_no", "nth")).withColumn("scope", F.lit(0))
     numbers = fact_ops.check_claims(claims, facts.select(F.lit(0).alias("scope"), "fact"), ["scope"]).where("severity = 'fail'").select("doc_id")
+    tabled = docs.where(F.contains("text", F.lit("|"))).select("doc_id", "text").repartition("doc_id")
     failed = validate.style_hits(rows).select("doc_id").unionByName(validate.unmarked_speculation(rows).select("doc_id")).unionByName(numbers)
-    failed = failed.unionByName(validate.table_arithmetic(validate.markdown_tables(rows)).select("doc_id")).unionByName(validate.consistency(rows, authority).select("doc_id"))
+    failed = failed.unionByName(validate.table_arithmetic(validate.tables_of(tabled)).select("doc_id")).unionByName(validate.consistency(rows, authority).select("doc_id"))
     out = docs.join(failed.distinct().withColumn("bad", F.lit(True)), "doc_id", "left")
     return out.select("section", "attempt", "text", F.col("bad").isNull().alias("passed"))
 

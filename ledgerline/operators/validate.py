@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.numbers import absolute_amount, cell_number, signed_amount, trimmed
-from ..functions.text import first_match, markdown_cells
+from ..functions.text import first_match, markdown_cells, split_lines
 
 AMOUNT_AHEAD = "^(.{0,60}?)(?<![A-Za-z\\d.])([+-]?[△▲▼]?\\s*\\d{1,4}(?:,\\d{3})*(?:\\.\\d+)?)\\s*(조|억)"
 
@@ -79,33 +79,59 @@ def markdown_tables(doc_lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "table_line", "line_no", "row_ord", F.posexplode(markdown_cells(F.col("line"))).alias("col_ord", "cell"))
 
 
+BAR_LINE, SEPARATOR = "^\\s*\\|.*\\|\\s*$", "^\\s*\\|[\\s:|-]+\\|\\s*$"
+
+
+def tables_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``markdown_tables`` of whole texts (key, text), each read in its own row: without a shuffle or a sort of lines."""
+    held = docs.where(F.contains("text", F.lit("|"))).select(key, split_lines(F.col("text")).alias("lines"))
+    letter = lambda x: F.when(x.rlike(SEPARATOR), F.lit("s")).when(x.rlike(BAR_LINE), F.lit("b")).otherwise(F.lit("n"))
+    kinds = F.array_join(F.transform("lines", letter), "")
+    pieces = F.regexp_extract_all(kinds, F.lit("[bs]s[bs]*|[bs]|n+"), F.lit(0))  # a table begins at a stretch's first line before a separator and takes the rest of it
+    place = lambda x: F.when(x.rlike("^.s"), F.sequence(F.lit(0), F.char_length(x) - 1)).otherwise(F.array_repeat(F.lit(-1), F.char_length(x)))
+    places = F.flatten(F.transform(pieces, place))
+    rows = held.select(key, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), places.alias("at"))).alias("pos", "row")).where("row.at = 0 or row.at >= 2")
+    line_no = F.col("pos") + 1
+    rows = rows.select(key, (line_no - F.col("row.at")).alias("table_line"), line_no.alias("line_no"), F.when(F.col("row.at") == 0, 0).otherwise(F.col("row.at") - 1).alias("row_ord"), F.col("row.line").alias("line"))
+    return rows.select(key, "table_line", "line_no", "row_ord", F.posexplode(markdown_cells(F.col("line"))).alias("col_ord", "cell"))
+
+
 def _holds(text: Column, words: Sequence[str]) -> Column:
     return F.exists(_array_of([w.lower() for w in words]), lambda w: F.contains(F.lower(text), w))
 
 
 def table_arithmetic(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     """Columns whose details don't add up to a total row, and share columns without one that don't add up to 100:
-    key, table_line, col_ord, category, actual, expected (null for shares)."""
+    key, table_line, col_ord, category, actual, expected (null for shares).
+
+    The cells are read once: rows come together, get their table's header and counts, and fall apart into columns. Cells
+    that lie by their key already aren't shuffled again.
+    """
     table = [key, "table_line"]
-    header = cells.where("row_ord = 0").select(*table, "col_ord", F.col("cell").alias("header"))
-    label = cells.where("row_ord > 0 and col_ord = 0").select(*table, "row_ord", _holds(F.col("cell"), rules.TOTAL_WORDS).alias("is_total"))
-    counts = label.groupBy(*table).agg(F.count_if(~F.col("is_total")).alias("details"), F.count_if("is_total").alias("totals"))
-    body = cells.where("row_ord > 0 and col_ord > 0").join(label, [*table, "row_ord"]).join(counts.where("details >= 2"), table).join(header, [*table, "col_ord"])
-    body = body.withColumn("value", cell_number(F.col("cell")))
-    columns = [*table, "col_ord", "header", "details", "totals"]
-    detail = ~F.col("is_total")
-    summed = body.groupBy(*columns).agg(
-        F.sum(F.when(detail, F.col("value"))).alias("actual"), F.count(F.when(detail, F.col("value"))).alias("n"), F.count_if(detail & F.contains("cell", F.lit("%"))).alias("pct_cells"),
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("col_ord", "cell"))), lambda x: x["cell"])
+    rows = cells.groupBy(*table, "line_no", "row_ord").agg(in_order.alias("cells"))
+    header, detail, total = F.col("row_ord") == 0, (F.col("row_ord") > 0) & ~F.col("is_total"), (F.col("row_ord") > 0) & F.col("is_total")
+    whole = Window.partitionBy(*table)
+    rows = rows.withColumn("is_total", _holds(F.get("cells", 0), rules.TOTAL_WORDS))
+    rows = rows.select("*", F.max(F.when(header, F.col("cells"))).over(whole).alias("header"), F.count_if(detail).over(whole).alias("details"), F.count_if(total).over(whole).alias("totals"))
+    body = rows.where("row_ord > 0 and details >= 2").select(*table, "line_no", "header", "details", "totals", "is_total", F.posexplode("cells").alias("col_ord", "cell"))
+    body = body.withColumn("header", F.get("header", "col_ord")).where("col_ord > 0 and header is not null").withColumn("value", cell_number(F.col("cell")))
+    detail, total = ~F.col("is_total"), F.col("is_total") & F.col("value").isNotNull()
+    expected = F.sort_array(F.collect_list(F.when(total, F.struct("line_no", F.col("value").alias("expected")))))
+    summed = body.groupBy(*table, "col_ord").agg(
+        F.first("header").alias("header"), F.first("details").alias("details"), F.first("totals").alias("totals"), F.sum(F.when(detail, F.col("value"))).alias("actual"),
+        F.count(F.when(detail, F.col("value"))).alias("n"), F.count_if(detail & F.contains("cell", F.lit("%"))).alias("pct_cells"), expected.alias("against"),
     ).where("n >= 2")
     not_summable = _holds(F.col("header"), rules.NOT_SUMMABLE_WORDS)
     share = ~not_summable & _holds(F.col("header"), rules.SHARE_WORDS)
     summed = summed.withColumn("is_share", share).withColumn("is_absolute", ~not_summable & ~share & (F.col("pct_cells") <= F.col("details") * 0.2))
-    totals = body.where(F.col("is_total") & F.col("value").isNotNull()).select(*table, "col_ord", F.col("value").alias("expected"), "line_no")
-    against = summed.where("is_share or is_absolute").join(totals, [*table, "col_ord"])
-    tolerance = F.when(F.col("is_share"), F.lit(3.0)).otherwise(F.greatest(F.abs("expected") * 0.02, F.lit(0.5)))
-    mismatch = against.where(F.abs(F.col("actual") - F.col("expected")) > tolerance).select(*table, "col_ord", F.lit("table_sum_mismatch").alias("category"), "actual", "expected")
-    off = summed.where("totals = 0 and is_share and n >= 3 and (actual < 95 or actual > 105)").select(*table, "col_ord", F.lit("percentage_sum_off").alias("category"), "actual", F.lit(None).cast("double").alias("expected"))
-    return mismatch.unionByName(off)
+    off = (F.col("totals") == 0) & F.col("is_share") & (F.col("n") >= 3) & ((F.col("actual") < 95) | (F.col("actual") > 105))
+    tolerance = lambda x: F.when(F.col("is_share"), F.lit(3.0)).otherwise(F.greatest(F.abs(x) * 0.02, F.lit(0.5)))
+    mismatch = F.filter("against", lambda x: (F.col("is_share") | F.col("is_absolute")) & (F.abs(F.col("actual") - x["expected"]) > tolerance(x["expected"])))
+    told = F.transform(mismatch, lambda x: F.struct(F.lit("table_sum_mismatch").alias("category"), x["expected"].alias("expected")))
+    less = F.struct(F.lit("percentage_sum_off").alias("category"), F.lit(None).cast("double").alias("expected"))
+    found = summed.select(*table, "col_ord", "actual", F.explode(F.when(off, F.array(less)).otherwise(told)).alias("found"))
+    return found.select(*table, "col_ord", "found.category", "actual", "found.expected")
 
 
 def consistency(doc_lines: DataFrame, authority: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -209,21 +209,21 @@ def _tables(spark, sf_dir):
     body = report.joined(F.format_string("| L%d | %d | %d%% |", "l_linenumber", "q", "q"), [F.col("l_linenumber")])
     out = rows.groupBy("doc_id").agg(body.alias("body"), F.sum("q").alias("s"))  # an order has seven lines at most
     total = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.format_string("\n| 합계 | %d | 100%% |", F.col("s") + F.col("doc_id") % 4))
-    return tx.lines(out.select("doc_id", F.concat(F.lit("| 구분 | 매출 | 비중 |\n|---|---|---|\n"), "body", total, F.lit("\n끝")).alias("text")))
+    return out.select("doc_id", F.concat(F.lit("| 구분 | 매출 | 비중 |\n|---|---|---|\n"), "body", total, F.lit("\n끝")).alias("text"))
 
 
 @query(f"""WITH {SQL_TABLES} SELECT doc_id, 1 AS table_line, 1 AS col_ord, 'table_sum_mismatch' AS category, CAST(s AS DOUBLE) AS actual, CAST(total AS DOUBLE) AS expected FROM sums WHERE details >= 2 AND has_total AND abs(s - total) > greatest(0.02 * total, 0.5)
 UNION ALL SELECT doc_id, 1, 2, 'table_sum_mismatch', CAST(s AS DOUBLE), CAST(100 AS DOUBLE) FROM sums WHERE details >= 2 AND has_total AND abs(s - 100) > 3
 UNION ALL SELECT doc_id, 1, 2, 'percentage_sum_off', CAST(s AS DOUBLE), NULL FROM sums WHERE details >= 3 AND NOT has_total AND (s < 95 OR s > 105)""")
 def table_arithmetic(spark, sf_dir):
-    return validate.table_arithmetic(validate.markdown_tables(_tables(spark, sf_dir)))
+    return validate.table_arithmetic(validate.tables_of(_tables(spark, sf_dir)))
 
 
 @query(f"""WITH {SQL_TABLES} SELECT doc_id, 1 AS table_line, 0 AS row_ord, c AS col_ord, CASE c WHEN 0 THEN '구분' WHEN 1 THEN '매출' ELSE '비중' END AS cell FROM sums CROSS JOIN (VALUES (0), (1), (2)) AS v(c)
 UNION ALL SELECT doc_id, 1, CAST(row_ord AS INTEGER), c, CASE c WHEN 0 THEN 'L' || n WHEN 1 THEN CAST(q AS VARCHAR) ELSE q || '%' END FROM items CROSS JOIN (VALUES (0), (1), (2)) AS v(c)
 UNION ALL SELECT doc_id, 1, CAST(details + 1 AS INTEGER), c, CASE c WHEN 0 THEN '합계' WHEN 1 THEN CAST(total AS VARCHAR) ELSE '100%' END FROM sums CROSS JOIN (VALUES (0), (1), (2)) AS v(c) WHERE has_total""")
 def md_table_parse(spark, sf_dir):
-    return validate.markdown_tables(_tables(spark, sf_dir)).select("doc_id", "table_line", "row_ord", "col_ord", "cell")
+    return validate.tables_of(_tables(spark, sf_dir)).select("doc_id", "table_line", "row_ord", "col_ord", "cell")
 
 
 # Every fourth text asserts what it calls unconfirmed elsewhere; in the others one of the two places is missing, about the
