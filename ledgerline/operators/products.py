@@ -11,6 +11,7 @@ from .. import rules
 from ..functions.dates import compact_date
 from ..functions.numbers import trimmed
 from ..functions.text import lines
+from ..sources.folders import dealt
 from . import facts as fact_ops
 from . import holdings, series, triggers, validate
 from .planner import to_render
@@ -77,13 +78,12 @@ def authoritative_facts(facts: DataFrame, year: int, market_cap: float | None =
 
 def checked_attempts(attempts: DataFrame, facts: DataFrame, authority: DataFrame) -> DataFrame:
     """Attempts (section, attempt, text) with passed: no failure of style, tables, numbers or consistency. facts: fact."""
-    docs = attempts.withColumn("doc_id", F.struct("section", "attempt"))
+    docs = dealt(attempts.withColumn("doc_id", F.struct("section", "attempt")), "doc_id")  # once for all validators
     rows = lines(docs)
     claims = validate.numeric_claims(rows).withColumn("claim_id", F.struct("doc_id", "line_no", "nth")).withColumn("scope", F.lit(0))
     numbers = fact_ops.check_claims(claims, facts.select(F.lit(0).alias("scope"), "fact"), ["scope"]).where("severity = 'fail'").select("doc_id")
-    tabled = docs.where(F.contains("text", F.lit("|"))).select("doc_id", "text").repartition("doc_id")
     failed = validate.style_hits(rows).select("doc_id").unionByName(validate.unmarked_speculation(rows).select("doc_id")).unionByName(numbers)
-    failed = failed.unionByName(validate.table_arithmetic(validate.tables_of(tabled)).select("doc_id")).unionByName(validate.consistency(rows, authority).select("doc_id"))
+    failed = failed.unionByName(validate.table_arithmetic(validate.tables_of(docs)).select("doc_id")).unionByName(validate.consistency(rows, authority).select("doc_id"))
     out = docs.join(failed.distinct().withColumn("bad", F.lit(True)), "doc_id", "left")
     return out.select("section", "attempt", "text", F.col("bad").isNull().alias("passed"))
 
