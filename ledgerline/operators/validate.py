@@ -139,10 +139,10 @@ def consistency(doc_lines: DataFrame, authority: DataFrame, key: str = "doc_id")
 
     The first amount that begins within 60 characters from each place of a keyword counts; one of them within the
     tolerance clears the line, else the closest is reported: key, line_no, fact_key, expected, found, deviation_pct.
-    Facts are a short list, which adaptive execution broadcasts.
+    Facts are a short list, which is broadcast: else every task of it would make the lines again.
     """
     facts = authority.select(F.col("key").alias("fact_key"), F.col("value_krw").alias("expected"), "tolerance_pct", F.posexplode("keywords").alias("word_ord", "word"))
-    held = doc_lines.where(F.col("line").rlike("조|억")).join(facts, F.contains(F.col("line"), F.col("word")))
+    held = doc_lines.where(F.col("line").rlike("조|억")).join(F.broadcast(facts), F.contains(F.col("line"), F.col("word")))
     place = F.concat(F.lit("(?s)(?=(\\Q"), F.col("word"), F.lit("\\E.*))"))
     places = held.withColumn("ahead", F.explode(F.regexp_extract_all("line", place, F.lit(1))))
     number, unit = F.regexp_extract("ahead", AMOUNT_AHEAD, 2), F.regexp_extract("ahead", AMOUNT_AHEAD, 3)

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import holdings, report, validate
 from ..operators.ranking import budgets
 from ..rules import FOREIGN_NAMES, SECRETS, SECTION_ALIASES, authority_frame
+from ..sources.folders import dealt
 from ..sources.markup import with_markup_text
 from .registry import query
 from .tables import read
@@ -195,7 +196,7 @@ UNION ALL SELECT doc_id, 2, 'interim_q_operating_income', income FROM cited WHER
 def authoritative_consistency(spark, sf_dir):
     facts = authority_frame(spark, FACTS)
     text = F.format_string("보고서의 시가총액 %d.%d조원\n1Q26 영업이익 %d.5조원", 1000 + F.col("o_orderkey") % 400, F.col("o_orderkey") % 10, F.col("o_orderkey") % 90)
-    texts = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    texts = dealt(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("doc_id")), "doc_id").select("doc_id", text.alias("text"))
     return validate.consistency(tx.lines(texts), facts).select("doc_id", "line_no", "fact_key", "found")
 
 
